@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, line_dedup, packing, quality_rules, url_filter
+from tidemark.llm import chat_format, jaccard_join, line_dedup, packing, quality_rules, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,6 +41,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link_components(_table(spark, sf_dir, "documents"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("\\### Assistant: </turn> ok")
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op8_line_dedup": op8_line_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_format": op10_chat_format,
 }
 
@@ -124,9 +129,23 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns, sha256(string_ag
 FROM e GROUP BY conv_id
 """
 
+_JACCARD_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT rid, doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 4], ' ') END AS k
+      FROM (SELECT rid, doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y FROM s a JOIN s b ON a.k = b.k AND a.rid < b.rid JOIN n na ON na.rid = a.rid JOIN n nb ON nb.rid = b.rid
+      GROUP BY a.rid, b.rid, a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+e AS (SELECT x, y FROM p UNION SELECT y, x FROM p),
+r AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+c AS (SELECT x, min(y) AS component_id FROM r GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN c ON c.x = d.doc_id
+"""
+
 SQL: dict[str, str] = {
     "op1_url_filter": _url_sql(),
     "op2_quality_rules": _RULES_SQL,
     "op8_line_dedup": _LINES_SQL,
+    "op9_ngram_jaccard_join": _JACCARD_SQL,
     "op10_chat_format": _CHAT_SQL,
 }
