@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, jaccard_join, line_dedup, packing, quality_rules, url_filter
+from tidemark.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -37,6 +37,27 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    rated = quality_model.rate_documents(docs, quality_model.fit_on(docs, _table(spark, sf_dir, "labels")))
+    return rated.select("doc_id", F.col("__tm_expected").alias("expected_grade"), F.col("__tm_tail").alias("tail_probability"), F.col("__tm_kept").alias("kept"))
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on(docs, _table(spark, sf_dir, "labels"), learnable=~held_out())
+    scored = toxicity.tag_documents(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), F.col("__tm_score").alias("score"), (F.col("__tm_score") >= 0.5).cast("int").alias("predicted"), F.size("__tm_spans").alias("n_spans"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +78,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filter": op1_url_filter,
     "op2_quality_rules": op2_quality_rules,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_decontamination": op4_decontamination,
+    "op5_quality_classifier": op5_quality_classifier,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_chat_format": op10_chat_format,

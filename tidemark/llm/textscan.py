@@ -70,8 +70,14 @@ class Slice:
     def __len__(self) -> int:
         return len(self.offsets) - 1
 
-    def lowered(self) -> "Slice":
-        return Slice(self.first, _LOWER[self.data], self.offsets)
+    def lowered(self, latin: bool = False) -> "Slice":
+        """A-Z in lower case, and with ``latin`` U+00C0..U+00DE too; no byte moves."""
+        data = _LOWER[self.data]
+        if latin:
+            at = np.flatnonzero(data[:-1] == 0xC3) + 1
+            at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+            data[at] += 0x20
+        return Slice(self.first, data, self.offsets)
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES, most: int = 1 << 16) -> Iterator[Slice]:
