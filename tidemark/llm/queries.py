@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, quality_model, quality_rules, toxicity, url_filter
+from tidemark.llm import chat_format, decontaminate, jaccard_join, line_dedup, packing, pii, quality_model, quality_rules, toxicity, url_filter
 
 TOKENIZER = "byte_bpe_50k.json"
 
+#: Stands for the secret that a deployment passes in.
+PII_KEY = "example-key"
+
 URL_POLICY = url_filter.UrlPolicy(rules=url_filter.parse_rules(allow=["org/", "com/fr/"], block=["example.org/es/", "example.org/en/1", "com/de/"]))
 
 
@@ -47,6 +50,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", F.col("__tm_expected").alias("expected_grade"), F.col("__tm_tail").alias("tail_probability"), F.col("__tm_kept").alias("kept"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), PII_KEY)
+
+
 def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_decontamination": op4_decontamination,
     "op5_quality_classifier": op5_quality_classifier,
+    "op6_pii": op6_pii,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
