@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators over ``documents``.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before kept. All but the last return the
-columns of ``documents``; the last returns the packed pieces with their token ids.
+columns of ``documents``; the last returns the packed pieces.
 """
 
 from __future__ import annotations
@@ -65,7 +65,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = persist(docs, "stage")
+            docs = persist(docs, "stage", rebalance=False)
     return docs
 
 

@@ -42,20 +42,21 @@ def drop_table(df_path: str, spark: SparkSession) -> None:
     _remove(spark, df_path)
 
 
-def persist_path(df: DataFrame, name: str) -> str:
+def persist_path(df: DataFrame, name: str, rebalance: bool = True) -> str:
     """Write ``df`` as Parquet below the shared folder and return the path.
 
     A table on shared storage cuts lineage, survives the loss of any executor, and fixes the value of everything
-    that is read from it more than once.
+    that is read from it more than once. Rows are dealt anew into files of the size that adaptive execution aims at,
+    since digests of a corpus are small and would otherwise be as many small files as the corpus has tasks.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     _made.append((spark, path))
     return path
 
 
-def persist(df: DataFrame, name: str) -> DataFrame:
+def persist(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """:func:`persist_path`, read back."""
-    path = persist_path(df, name)
+    path = persist_path(df, name, rebalance)
     return df.sparkSession.read.schema(df.schema).parquet(path)
