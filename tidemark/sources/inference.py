@@ -62,6 +62,7 @@ def _date(t: Column) -> Column:
     """ISO text, or a written form that the text looks like; without a zone it is UTC."""
     full = F.when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01-01"))).when(t.rlike(r"^\d{4}-\d{2}$"), F.concat(t, F.lit("-01")))
     full = full.otherwise(F.regexp_replace(F.regexp_replace(t, r"\s(?=Z|[+-]\d{2}:?\d{2}$)", ""), r"([+-]\d{2})(\d{2})$", "$1:$2"))
+    full = F.regexp_replace(full, r"([T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
     # month names as Spark writes them
     tidy = F.concat(F.regexp_extract(t, "^[^A-Za-z]*", 0), F.upper(F.regexp_extract(t, "^[^A-Za-z]*([A-Za-z]?)", 1)), F.lower(F.regexp_replace(t, "^[^A-Za-z]*[A-Za-z]?", "")))
     found = F.when(t.rlike(_ISO), full.try_cast("timestamp"))
