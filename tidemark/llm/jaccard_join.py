@@ -12,8 +12,9 @@ The steps:
 3. *Index skipping.* An entry is skipped when the position, here and there, or the sizes leave too little overlap.
 4. *Answer skipping.* The set that has a shingle earliest leads its list and is compared with every member. A member
    that is similar to the leader takes over the leader's answers, the component found so far: two sets that share
-   their answers are never compared. What is left are entries outside the leader's component, and these alone are
-   compared with the rest of their lists. All links between components are found so, and components are joined again.
+   their answers are never compared. What is left are entries outside the leader's component. They are paired with
+   others of their list only if the overlap derived from what each shares with the leader can be enough, and then
+   compared. All links between components are found so, and components are joined again.
 
 Candidates from hashes are verified by exact overlap of the shared shingles, which is the whole overlap.
 
@@ -225,40 +226,65 @@ def _list_entries(t: Fraction):
 
 
 def _enough(t: Fraction, a: str, b: str):
-    """The block skip: sizes and the positions of a common shingle leave room for the overlap that similarity t needs.
+    """The block skip: sizes fit, and what follows a first common shingle, here and there, is as much as similarity t needs.
 
-    Shingles that a set has alone stand first and are no part of any overlap.
+    Two similar sets have a first common shingle, and that one passes; the others need not.
     """
     p, q = t.numerator, t.denominator
     sizes = f"{q} * {a}.n >= {p} * {b}.n AND {q} * {b}.n >= {p} * {a}.n"
-    room = f"least({a}.pos - {a}.own, {b}.pos - {b}.own) + least({a}.n - {a}.pos, {b}.n - {b}.pos)"
-    return F.expr(f"{sizes} AND {p + q} * ({room}) >= {p} * ({a}.n + {b}.n)")
+    return F.expr(f"{sizes} AND {p + q} * least({a}.n - {a}.pos, {b}.n - {b}.pos) >= {p} * ({a}.n + {b}.n)")
 
 
-def _similar(t: Fraction):
+def _derived(t: Fraction, a: str, b: str):
+    """The answer skip, for two members of one leader's list: their overlap is at most the leader's shingles that both
+    hold, and the rest that both may hold by their signatures. True where that is enough, or not known."""
+    both = "aggregate(zip_with({0}.{2}, {1}.{2}, (v, w) -> bit_count(v & w)), 0, (s, v) -> s + v)"
+    room = f"{both.format(a, b, 'held')} + {both.format(a, b, 'rest')} + least({a}.hidden, {b}.hidden)"
+    return F.expr(f"{a}.held IS NULL OR {b}.held IS NULL OR {t.numerator + t.denominator} * ({room}) >= {t.numerator} * ({a}.n + {b}.n)")
+
+
+def _longs(mask: np.ndarray) -> np.ndarray:
+    packed = np.packbits(mask, bitorder="little")
+    return np.concatenate([packed, np.zeros(-len(packed) % 8, np.uint8)]).view("<i8")
+
+
+def _compare(t: Fraction):
+    """Pairs with both sets, to: similar or not, and b as seen from a. ``held`` marks which of a's shingles b has;
+    ``rest`` is a signature of b's others, as long, in which ``hidden`` of them coincide with another."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column("shared_a").to_pylist(), batch.column("shared_b").to_pylist()
             na, nb = batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy()
-            last, held, inter = None, None, np.empty(batch.num_rows, np.int64)
+            inter, held, rest, hidden = np.empty(batch.num_rows, np.int64), [], [], []
+            last, own = None, None
             for i in range(batch.num_rows):
                 if a[i] != last:
-                    last, held = a[i], np.sort(_unpack(a[i]))
+                    last, own = a[i], np.sort(_unpack(a[i]))
                 other = _unpack(b[i])
-                k = np.searchsorted(held, other)
-                inter[i] = np.count_nonzero(held[np.minimum(k, len(held) - 1)] == other)
-            ok = np.flatnonzero(t.denominator * inter >= t.numerator * (na + nb - inter))
-            yield pa.RecordBatch.from_arrays([batch.column("a").take(pa.array(ok)), batch.column("b").take(pa.array(ok)), pa.array(inter[ok] / (na + nb - inter)[ok])], ["a", "b", "similarity"])
+                k = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                hit = own[k] == other
+                inter[i] = np.count_nonzero(hit)
+                mask = np.zeros(len(own), bool)
+                mask[k[hit]] = True
+                held.append(_longs(mask))
+                sign = np.zeros(64 * len(held[-1]), bool)
+                sign[(other[~hit] % np.uint64(len(sign))).astype(np.int64)] = True
+                rest.append(_longs(sign))
+                hidden.append(int(np.count_nonzero(~hit) - np.count_nonzero(sign)))
+            similar = t.denominator * inter >= t.numerator * (na + nb - inter)
+            longs = pa.list_(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(similar), pa.array(held, longs), pa.array(rest, longs), pa.array(hidden, pa.int32())], ["a", "b", "similar", "held", "rest", "hidden"])
 
     return run
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, t: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets have the similarity: exact overlap of the shared shingles over the exact union."""
+    """The pairs (a, b), compared by the exact overlap of their shared shingles over the exact union."""
     left = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("shared").alias("shared_a"))
     right = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("shared").alias("shared_b"))
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "shared_a", "shared_b")
-    return both.mapInArrow(_similar(t), "a long, b long, similarity double")
+    return both.mapInArrow(_compare(t), "a long, b long, similar boolean, held array<long>, rest array<long>, hidden int")
 
 
 def link_components(docs: DataFrame, threshold: Fraction = Fraction(3, 4), width: int = 5) -> DataFrame:
@@ -269,7 +295,8 @@ def link_components(docs: DataFrame, threshold: Fraction = Fraction(3, 4), width
     """
     every = persist(document_sets(docs, threshold, width), "sets")
     sets_of = every.where("n > 0 AND doc_id IS NOT NULL")
-    named = sets_of.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
+    # written, so that the join below has two plain exchanges and a set with very many copies can be split
+    named = persist(sets_of.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "named")
     copies = sets_of.join(named, ["s1", "s2"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
     listed = sets_of.where("shared IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("shared").alias("shared"))
     sets = persist(listed.drop("s1", "s2"), "listed")
@@ -279,18 +306,19 @@ def link_components(docs: DataFrame, threshold: Fraction = Fraction(3, 4), width
     leaders = persist(leaders.select("token", F.col("l.node").alias("node"), F.col("l.n").alias("n"), F.col("l.own").alias("own"), F.col("l.pos").alias("pos")), "leaders")
     star = entries.alias("x").join(leaders.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _enough(threshold, "x", "y"))
     star = star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
-    links = persist(_verify(star, sets, threshold).select("a", "b"), "links")
-    found = persist(components(links.union(copies)), "found")
+    seen = persist(_verify(star, sets, threshold), "seen")
+    found = persist(components(seen.where("similar").select("a", "b").union(copies)), "found")
 
     # What the leader's answers do not cover: entries of lists that reach over more than one component.
     entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = leaders.select("token", F.col("node").alias("lead")).join(found.withColumnRenamed("node", "lead"), "lead", "left").select("token", "lead", F.coalesce("component", "lead").alias("lead_component"))
     mixed = entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token")
-    open_lists = persist(entries.join(mixed, "token").join(lead, "token"), "open")
+    from_lead = seen.select(F.col("a").alias("lead"), F.col("b").alias("node"), "held", "rest", "hidden")
+    open_lists = persist(entries.join(mixed, "token").join(lead, "token").where("node != lead").join(from_lead, ["lead", "node"], "left"), "open")
     outside = open_lists.where("component != lead_component")
-    rest = outside.alias("x").join(open_lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & (F.col("y.node") != F.col("y.lead")) & _enough(threshold, "x", "y"))
+    rest = outside.alias("x").join(open_lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _enough(threshold, "x", "y") & _derived(threshold, "x", "y"))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    more = persist(_verify(rest, sets, threshold).select("a", "b"), "more")
+    more = persist(_verify(rest, sets, threshold).where("similar").select("a", "b"), "more")
     joined = components(found.where("node != component").union(more)) if more.head(1) else found
 
     return every.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
