@@ -133,9 +133,10 @@ def _head(spark: SparkSession, path: str, encoding: str) -> str:
 
 @dataclass(frozen=True)
 class Raw:
-    """All columns as text, null-free, with a dense row id."""
+    """All columns as text, null-free; ``df`` has a dense row id too, which ``plain`` saves the counting for."""
 
     df: DataFrame
+    plain: DataFrame
     columns: list[str]
     delimiter: str
 
@@ -188,13 +189,13 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
     if strict:
         kind = ", ".join(["__tm_file string", "__tm_place long", *(f"c{k} string" for k in range(len(names)))])
         rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_strict_rows(len(names), delimiter, encoding), kind)
-        rows = numbered(rows, ["__tm_file"], "__tm_place", row_id)
+        placed = numbered(rows, ["__tm_file"], "__tm_place", row_id)
     else:
         schema = ", ".join(f"c{k} string" for k in range(len(names)))
         rows = spark.read.schema(schema).csv(path, header=True, sep=delimiter, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding, multiLine=multiline, enforceSchema=True, nullValue="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-        rows = scan_with_row_ids(rows, row_id)
+        placed = scan_with_row_ids(rows, row_id)
     cells = [F.coalesce(F.col(f"c{k}"), F.lit("")).alias(n) for k, n in enumerate(names)]
-    return Raw(rows.select(column(row_id), *cells), names, delimiter)
+    return Raw(placed.select(column(row_id), *cells), rows.select(*cells), names, delimiter)
 
 
 @dataclass(frozen=True)
@@ -210,5 +211,5 @@ class Loaded:
 def read_typed(spark: SparkSession, path: str, lenient: bool = False, **options) -> Loaded:
     """:func:`read_text`, then types inferred from all rows in one pass and one projection to them."""
     raw = read_text(spark, path, **options)
-    found = infer(raw.df, raw.columns)
+    found = infer(raw.plain, raw.columns)
     return Loaded(typed(raw.df, found, lenient), found, found[0].rows if found else 0, raw.delimiter)

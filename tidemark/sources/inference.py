@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import FALSE_WORDS, TRUE_WORDS
-from tidemark.functions.text import let, trimmed
+from tidemark.functions.text import trimmed
 from tidemark.operators.predicates import column
 from tidemark.plans.nodes import Kind
 
@@ -17,9 +17,12 @@ NEEDED = ((Kind.BOOLEAN, 0.90), (Kind.DATETIME, 0.60), (Kind.NUMBER, 0.85))
 
 _DECIMAL = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 _RADIX = r"^0([xX][0-9a-fA-F]{1,15}|[oO][0-7]{1,20}|[bB][01]{1,60})$"
-_EPOCH_S, _EPOCH_MS = r"^-?\d{10}$", r"^-?\d{13}$"
+_EPOCH = r"^-?(\d{10}|\d{13})$"
 _ISO = r"^\d{4}(-\d{2}(-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?\s?(Z|[+-]\d{2}:?\d{2})?)?)?)?$"
 
+_PLAIN_ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}:\d{2}(\.\d{1,9})?(Z|[+-]\d{2}:\d{2})?)?$"
+_PLAUSIBLE = r"^[A-Za-z]{3,9} \d|^\d{1,4}[/ -][A-Za-z0-9]"
+
 # The written forms of dates, as (what the text looks like, Spark's pattern), that are understood.
 _FORMS = (
     (r"^[A-Za-z]{3} \d{1,2} \d{4} \d{2}:\d{2}:\d{2}$", "MMM d yyyy HH:mm:ss"),
@@ -40,58 +43,76 @@ _FORMS = (
 )
 
 
+# What follows takes trimmed text. Branches are in the order in which a text is tried, and nothing is made of a text
+# beyond the first that fits, so most cells cost one or two patterns.
+
+
+def _is_boolean(t: Column) -> Column:
+    return (F.octet_length(t) <= 5) & F.lower(t).isin(*TRUE_WORDS, *FALSE_WORDS)
+
+
+def _is_epoch(t: Column) -> Column:
+    return F.octet_length(t).isin(10, 11, 13, 14) & t.rlike(_EPOCH)
+
+
+def _looks_numeric(t: Column) -> Column:
+    """The first character is a digit, sign or point: a test of one byte that most text fails."""
+    return F.ascii(t).between(43, 57)
+
+
 def _boolean(t: Column) -> Column:
-    word = F.lower(t)
-    return F.when(word.isin(*TRUE_WORDS), True).when(word.isin(*FALSE_WORDS), False)
+    return F.when(_is_boolean(t), F.lower(t).isin(*TRUE_WORDS))
 
 
 def _number(t: Column) -> Column:
     """A finite number in decimal or with a radix prefix, else null."""
-    body = F.substr(t, F.lit(3))
-    radix = [F.when(F.lower(F.substring(t, 1, 2)) == mark, F.conv(body, base, 10).try_cast("double")) for mark, base in (("0x", 16), ("0o", 8), ("0b", 2))]
-    number = F.when(t.rlike(_DECIMAL), t.try_cast("double")).when(t.rlike(_RADIX), F.coalesce(*radix))
-    return let(number, lambda n: F.when(F.abs(n) < float("inf"), n))
+    body, mark = F.substr(t, F.lit(3)), F.lower(F.substring(t, 1, 2))
+    radix = F.when(mark == "0x", F.conv(body, 16, 10)).when(mark == "0o", F.conv(body, 8, 10)).otherwise(F.conv(body, 2, 10))
+    decimal = F.nullif(F.nullif(t.try_cast("double"), F.lit(float("inf"))), F.lit(float("-inf")))
+    return F.when(_looks_numeric(t), F.when(t.rlike(_DECIMAL), decimal).when(t.rlike(_RADIX), radix.try_cast("double")))
 
 
 def _epoch(t: Column) -> Column:
     """Ten digits as seconds, thirteen as milliseconds."""
-    return F.timestamp_millis(F.when(t.rlike(_EPOCH_S), t.try_cast("long") * 1000).when(t.rlike(_EPOCH_MS), t.try_cast("long")))
+    return F.timestamp_millis(F.when(_is_epoch(t), t.try_cast("long") * F.when(F.octet_length(t) <= 11, 1000).otherwise(1)))
 
 
 def _date(t: Column) -> Column:
     """ISO text, or a written form that the text looks like; without a zone it is UTC."""
-    full = F.when(t.rlike(r"^\d{4}$"), F.concat(t, F.lit("-01-01"))).when(t.rlike(r"^\d{4}-\d{2}$"), F.concat(t, F.lit("-01")))
-    full = full.otherwise(F.regexp_replace(F.regexp_replace(t, r"\s(?=Z|[+-]\d{2}:?\d{2}$)", ""), r"([+-]\d{2})(\d{2})$", "$1:$2"))
-    full = F.regexp_replace(full, r"([T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
-    # month names as Spark writes them
+    fixed = F.regexp_replace(t, r"\s(?=Z|[+-]\d{2}:?\d{2}$)", "")
+    fixed = F.regexp_replace(F.regexp_replace(fixed, r"([+-]\d{2})(\d{2})$", "$1:$2"), r"([T ]\d{2}:\d{2})(?=$|Z|[+-])", "$1:00")
+    n = F.octet_length(t)
+    iso = F.when(t.rlike(_PLAIN_ISO), t).when(n == 4, F.concat(t, F.lit("-01-01"))).when(n == 7, F.concat(t, F.lit("-01"))).otherwise(fixed)
+    # written forms hold a name or a slash; month names are spelt as Spark spells them
+    form = F.lit(None).cast("string")
+    for looks, written in reversed(_FORMS):
+        form = F.when(t.rlike(looks), written).otherwise(form)
     tidy = F.concat(F.regexp_extract(t, "^[^A-Za-z]*", 0), F.upper(F.regexp_extract(t, "^[^A-Za-z]*([A-Za-z]?)", 1)), F.lower(F.regexp_replace(t, "^[^A-Za-z]*[A-Za-z]?", "")))
-    found = F.when(t.rlike(_ISO), full.try_cast("timestamp"))
-    for looks, form in _FORMS:
-        found = found.when(t.rlike(looks), F.try_to_timestamp(tidy, F.lit(form)))
-    return found
-
-
-def analyse(raw: Column) -> Column:
-    """struct<kind, b, n, d>: what a text is, tried in the order nothing (null), truth value, epoch, number, date, text;
-    and its value as whatever it is. Each cell is looked at once."""
+    digit_first = F.ascii(t).between(48, 57)
+    plausible = n.between(8, 32) & t.rlike(_PLAUSIBLE)
+    return F.when(digit_first & t.rlike(_ISO), iso.try_cast("timestamp")).when(plausible, F.try_to_timestamp(tidy, form))
 
-    def tried(t: Column) -> Column:
-        nothing = {"b": F.lit(None).cast("boolean"), "n": F.lit(None).cast("double"), "d": F.lit(None).cast("timestamp")}
 
-        def found(kind: Kind | None, **values: Column) -> Column:
-            parts = nothing | values
-            return F.struct(F.lit(str(kind) if kind else None).cast("string").alias("kind"), *(parts[k].alias(k) for k in ("b", "n", "d")))
+def _kind(t: Column, date: Column) -> Column:
+    """What a text is: nothing (null), truth value, epoch, number, date or text; ``date`` is its epoch or date, made before."""
+    return (
+        F.when(t == "", F.lit(None).cast("string"))
+        .when(_is_boolean(t), str(Kind.BOOLEAN))
+        .when(date.isNotNull(), str(Kind.DATETIME))
+        .when(_number(t).isNotNull(), str(Kind.NUMBER))
+        .otherwise(str(Kind.STRING))
+    )
 
-        last = let(_date(t), lambda d: F.when(d.isNotNull(), found(Kind.DATETIME, d=d)).otherwise(found(Kind.STRING)))
-        number = let(_number(t), lambda n: F.when(n.isNotNull(), found(Kind.NUMBER, n=n)).otherwise(last))
-        return (
-            F.when(t == "", found(None))
-            .when(F.lower(t).isin(*TRUE_WORDS, *FALSE_WORDS), found(Kind.BOOLEAN, b=_boolean(t), n=_number(t)))
-            .when(t.rlike(_EPOCH_S) | t.rlike(_EPOCH_MS), found(Kind.DATETIME, d=_epoch(t), n=_number(t)))
-            .otherwise(number)
-        )
 
-    return let(trimmed(F.coalesce(raw, F.lit(""))), tried)
+def kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(place, kind, moment) of every cell of the columns, which are text: one narrow row for each, so that one small
+    expression, compiled once, looks at all columns."""
+    cells = df.select(F.posexplode(F.array(*(F.coalesce(column(c), F.lit("")) for c in columns))).alias("place", "text"))
+    cells = cells.select("place", trimmed(F.col("text")).alias("t"))
+    t = F.col("t")
+    plain = _is_boolean(t) | (_looks_numeric(t) & t.rlike(_DECIMAL))
+    dated = cells.withColumn("date", F.when(_is_epoch(t), _epoch(t)).when(~plain, _date(t)))
+    return dated.select("place", _kind(t, F.col("date")).alias("kind"), F.col("date").alias("moment"))
 
 
 @dataclass(frozen=True)
@@ -119,21 +140,16 @@ def decide(counts: dict[Kind, int]) -> tuple[Kind, float]:
 
 def infer(df: DataFrame, columns: list[str] | None = None) -> list[Inferred]:
     """Types of text columns from all their rows, in one pass."""
-    columns = df.columns if columns is None else columns
-    kinds = list(Kind)
-    seen = [analyse(column(c)) for c in columns]
-    marked = df.select(*(let(a, lambda a: F.struct(a["kind"].alias("kind"), a["d"].alias("d"))).alias(f"a{i}") for i, a in enumerate(seen)))
-    figures = [F.count(F.lit(1)).alias("rows")]
-    for i in range(len(columns)):
-        figures += [F.count_if(F.col(f"a{i}.kind") == str(k)).alias(f"n{i}_{k}") for k in kinds]
-        figures += [F.unix_millis(F.min(f"a{i}.d")).alias(f"lo{i}"), F.unix_millis(F.max(f"a{i}.d")).alias(f"hi{i}")]
-    got = marked.agg(*figures).first()
+    columns = list(df.columns if columns is None else columns)
+    found = kinds(df, columns).groupBy("place", "kind").agg(F.count(F.lit(1)).alias("n"), F.unix_millis(F.min("moment")).alias("lo"), F.unix_millis(F.max("moment")).alias("hi")).collect()
+    rows = sum(r.n for r in found if r.place == 0)
     out = []
     for i, c in enumerate(columns):
-        counts = {k: got[f"n{i}_{k}"] for k in kinds}
+        own = {r.kind: r for r in found if r.place == i}
+        counts = {k: own[str(k)].n for k in Kind if str(k) in own}
         decided, confidence = decide(counts)
-        span = (got[f"lo{i}"], got[f"hi{i}"]) if decided == Kind.DATETIME else (None, None)
-        out.append(Inferred(c, decided, confidence, got.rows, got.rows - sum(counts.values()), *span))
+        dates = own[str(Kind.DATETIME)] if decided == Kind.DATETIME else None
+        out.append(Inferred(c, decided, confidence, rows, rows - sum(counts.values()), dates and dates.lo, dates and dates.hi))
     return out
 
 
@@ -145,11 +161,13 @@ def coerce(raw: Column, to: Kind, lenient: bool = False) -> Column:
     """
     if to == Kind.STRING:
         return F.coalesce(raw, F.lit(""))
+    t = trimmed(raw)
     if to == Kind.BOOLEAN:
-        return let(analyse(raw), lambda a: a["b"])
+        return _boolean(t)
     if to == Kind.NUMBER:
-        return let(analyse(raw), lambda a: a["n"] if lenient else F.when(a["kind"] == str(Kind.NUMBER), a["n"]))
-    return let(analyse(raw), lambda a: F.coalesce(a["d"], F.when(a["kind"] == str(Kind.NUMBER), F.timestamp_millis(F.floor(a["n"]).cast("long")))))
+        return _number(t) if lenient else F.when(~_is_boolean(t) & ~_is_epoch(t), _number(t))
+    number = F.when(~_is_boolean(t), F.timestamp_millis(F.floor(_number(t)).try_cast("long")))
+    return F.when(_is_epoch(t), _epoch(t)).otherwise(F.when(_number(t).isNotNull(), number).otherwise(_date(t)))
 
 
 def typed(df: DataFrame, inferred: list[Inferred], lenient: bool = False) -> DataFrame:
