@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WS = " \t\n\x0b\x0c\r"
-WS_RUN = r"[\x20\x09-\x0D]+"
+from tidemark.functions.text import let
 
+__all__ = ["WS", "WS_RUN", "ascii_lower", "count_chars", "let", "strip_ws", "words"]
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` computed once, however often the body names it: a lambda variable is a binding."""
-    return F.transform(F.array(value), body).getItem(0)
+WS = " \t\n\x0b\x0c\r"
+WS_RUN = r"[\x20\x09-\x0D]+"
 
 
 def ascii_lower(c: Column) -> Column:

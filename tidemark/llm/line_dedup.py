@@ -58,7 +58,9 @@ def drop_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     A set bit is a dropped line; words without one are left out, and documents without one have no row.
     """
     lines = persist(line_hashes(docs, min_chars), "lines")
-    lost = lines.join(repeated_keys(lines, min_docs), _KEY).where(F.col("__tm_doc") < F.col("__tm_keep"))
+    # written, so that the join has two plain exchanges and adaptive execution can split a key that many lines have
+    repeated = persist(repeated_keys(lines, min_docs), "repeated")
+    lost = lines.join(repeated, _KEY).where(F.col("__tm_doc") < F.col("__tm_keep"))
     bit = F.expr("shiftleft(1L, __tm_pos & 63)")
     words = lost.groupBy(*_DOC, F.shiftright("__tm_pos", 6).alias("__tm_word")).agg(F.bit_or(bit).alias("__tm_bits"))
     return words.groupBy(*_DOC).agg(F.sort_array(F.collect_list(F.struct("__tm_word", "__tm_bits"))).alias("__tm_words"))
