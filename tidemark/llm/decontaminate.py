@@ -67,14 +67,15 @@ class ItemIndex:
         low[(self.vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
         self.low = low
         self.by_size: dict[int, np.ndarray] = {int(n): np.flatnonzero(self.sizes == n) for n in np.unique(self.sizes)}
-        self.tables: dict[int, list[dict[int, list[int]]]] = {}
+        self.words_of = {n: np.unique(np.concatenate([items[m][1] for m in members])) for n, members in self.by_size.items()}
+        # tables[n][b, v]: which of the items of n shingles have a block b at most two bits from v, as a row of bits
+        self.tables: dict[int, np.ndarray] = {}
         for n, members in self.by_size.items():
-            tables: list[dict[int, list[int]]] = [{} for _ in range(_BLOCKS)]
-            for m in members.tolist():
+            near = np.zeros((_BLOCKS, 256, len(members)), bool)
+            for k, m in enumerate(members.tolist()):
                 for b in range(_BLOCKS):
-                    for value in _near(int(self.prints[m, b])):
-                        tables[b].setdefault(value, []).append(m)
-            self.tables[n] = tables
+                    near[b, _near(int(self.prints[m, b])), k] = True
+            self.tables[n] = np.packbits(near, axis=2)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Which hashes are shingles of items."""
@@ -85,17 +86,15 @@ class ItemIndex:
 
     def candidates(self, n: int, prints: np.ndarray) -> Iterator[tuple[int, int]]:
         """(window, item) within the radius, for items of n shingles."""
-        tables = self.tables[n]
-        values = prints.tolist()
-        for w, row in enumerate(values):
-            met: set[int] = set()
-            for b in range(_BLOCKS):
-                met.update(tables[b].get(row[b], ()))
-            if met:
-                some = np.fromiter(met, np.int64)
-                far = _POPCOUNT[self.prints[some] ^ prints[w]].sum(1)
-                for item in some[far <= RADIUS].tolist():
-                    yield w, item
+        members, tables = self.by_size[n], self.tables[n]
+        for a in range(0, len(prints), 4096):
+            part = prints[a : a + 4096]
+            met = tables[0][part[:, 0]]
+            for b in range(1, _BLOCKS):
+                met = met | tables[b][part[:, b]]
+            w, k = np.nonzero(np.unpackbits(met, axis=1, count=len(members)))
+            close = _POPCOUNT[self.prints[members[k]] ^ part[w]].sum(1) <= RADIUS
+            yield from zip((w[close] + a).tolist(), members[k[close]].tolist(), strict=True)
 
 
 def weighted_jaccard(a: dict[int, int], b: dict[int, int]) -> float:
@@ -129,7 +128,11 @@ def _scan(index: ItemIndex, w: Words, threshold: float) -> Iterator[tuple[int, i
         own, near = hashes[a:b], hits[owner == d] - a
         best: dict[int, tuple[float, int, int]] = {}
         for n in index.by_size:
-            for start, end in _stretches(_windows(near, n, len(own)), n, len(own)):
+            # items of other sizes do not matter here, and windows that share nothing with these have similarity zero
+            touching = near[np.isin(own[near], index.words_of[n])]
+            if not len(touching):
+                continue
+            for start, end in _stretches(_windows(touching, n, len(own)), n, len(own)):
                 signs = np.concatenate([np.zeros((1, 128), np.int32), np.cumsum(_bits(own[start:end]), 0, dtype=np.int32)])
                 size = min(n, end - start)
                 prints = simhash(signs[size:] - signs[: len(signs) - size])
