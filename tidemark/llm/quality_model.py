@@ -25,6 +25,9 @@ from tidemark.llm.textscan import NOT_ALNUM, Slice, slices, words
 
 #: Labelled documents of each grade that the model is fitted on, and the longest of them.
 SAMPLE_PER_GRADE, SAMPLE_CHARS = 2000, 50_000
+#: Tail probability from which a corpus keeps a document. The sample holds as many of each grade, a corpus far more good
+#: ones, so a document on the sample's border is more likely good than not.
+KEEP_AT = 0.25
 _HASHED, _BINNED = 1 << 13, 64
 _SCALE = 8.0
 

@@ -96,7 +96,7 @@ def default_rules() -> list[Rule]:
     return [
         Rule("symbols", 10 * F.col("n_symbols") > n),
         Rule("word_length", (F.col("word_chars") < 2 * n) | (F.col("word_chars") > 15 * n)),
-        Rule("dup_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_full_lines")),
+        Rule("dup_lines", 2 * F.col("n_dup_lines") > F.col("n_full_lines")),
         Rule("exclaiming", 20 * count_chars(t, "!") > 3 * n),
         Rule("digits", 2 * count_chars(t, "0123456789") > F.col("word_chars")),
         Rule("shouting", 2 * capitals > letters),

@@ -46,7 +46,7 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = quality_model.rate_documents(docs, quality_model.fit_on(docs, _table(spark, sf_dir, "labels")))
+    rated = quality_model.rate_documents(docs, quality_model.fit_on(docs, _table(spark, sf_dir, "labels")), at_least=quality_model.KEEP_AT)
     return rated.select("doc_id", F.col("__tm_expected").alias("expected_grade"), F.col("__tm_tail").alias("tail_probability"), F.col("__tm_kept").alias("kept"))
 
 
@@ -132,7 +132,7 @@ f AS (SELECT doc_id, t, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x
 g AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT (base_failed OR 10 * n_symbols > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words
-            OR 10 * n_dup_lines > 3 * n_full_lines OR 20 * length(regexp_replace(t, '[^!]', '', 'g')) > 3 * n_words
+            OR 2 * n_dup_lines > n_full_lines OR 20 * length(regexp_replace(t, '[^!]', '', 'g')) > 3 * n_words
             OR 2 * length(regexp_replace(t, '[^0-9]', '', 'g')) > word_chars OR 2 * capitals > letters OR 2 * letters < word_chars
             OR 20 * len(regexp_extract_all(t, '(?:\.\.\.|…)\s*(?:\n|$)')) > 7 * n_full_lines) AS kept
 FROM g
