@@ -156,7 +156,7 @@ def infer(df: DataFrame, columns: list[str] | None = None) -> list[Inferred]:
 def coerce(raw: Column, to: Kind, lenient: bool = False) -> Column:
     """A text as a value of the column's type; what is of another kind is null.
 
-    By the reference rules ``0`` and ``1`` are truth values and 10 or 13 digits are epochs, in number columns too, where
+    By default ``0`` and ``1`` are truth values and 10 or 13 digits are epochs, in number columns too, where
     they become null; ``lenient`` reads them as the numbers they are. A number in a datetime column is milliseconds.
     """
     if to == Kind.STRING:
