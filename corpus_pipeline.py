@@ -19,9 +19,9 @@ def _own(out: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier keeps."""
-    model = quality_model.fit_on(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _own(quality_model.rate_documents(docs, model, at_least=quality_model.KEEP_AT).where("__tm_kept"), docs)
+    """Documents that the quality classifier keeps: more likely than not better than the lowest grade."""
+    model = quality_model.fit_on(docs, quality_model.graded_ratings(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return _own(quality_model.rate_documents(docs, model).where("__tm_kept"), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

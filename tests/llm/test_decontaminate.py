@@ -26,6 +26,8 @@ def brute(texts, items, threshold=0.75):
                 continue
             grams = lambda x: [tuple(x[a : a + k]) for a in range(len(x) - k + 1)]  # noqa: E731, B023
             own, want = grams(w), grams(q)
+            if not set(own) & set(want):
+                continue  # all windows have similarity zero
             n = min(len(want), len(own))
             for a in range(len(own) - n + 1):
                 part = own[a : a + n]

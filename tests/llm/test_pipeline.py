@@ -21,7 +21,7 @@ def test_stages_against_plain_versions(spark, sf, tmp_path):
     before, after = map(text, held[0])
     labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     assert set(after) <= set(before) and all(d in after for d, g in labels.items() if g == 1)
-    assert not quality_model.rate_documents(held[0][0], quality_model.fit_on(held[0][0], spark.read.parquet(f"{sf}/labels.parquet")), at_least=quality_model.KEEP_AT).where("__tm_kept").join(held[0][1], "doc_id", "left_anti").count()
+    assert not quality_model.rate_documents(held[0][0], quality_model.fit_on(held[0][0], quality_model.graded_ratings(spark.read.parquet(f"{sf}/labels.parquet")))).where("__tm_kept").join(held[0][1], "doc_id", "left_anti").count()
 
     before, after = map(text, held[1])
     import hashlib

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from tests.llm.helpers import EDGE_TEXTS, documents
 from tidemark.llm import quality_model as q
@@ -24,10 +25,12 @@ def test_ordered_thresholds_and_held_out_grades(spark):
     assert ((np.array([r["__tm_kept"] for r in rows])) == (truth >= 2)).mean() > 0.9
 
 
-def test_two_grades_held_out(spark, sf="/root/testdata/sf0.01"):
+@pytest.mark.parametrize("label", ["quality", "rating"])
+def test_labels_held_out(spark, label, sf="/root/testdata/sf0.01"):
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
-    part = labels.where("doc_id % 3 != 0")
-    model = q.fit_on(docs, part)
+    labels = labels.join(q.graded_ratings(labels), "doc_id")
+    model = q.fit_on(docs, labels.where("doc_id % 3 != 0"), label)
+    assert model.grades == [0, 1] if label == "quality" else [0, 1, 2]
     rated = q.rate_documents(docs, model).join(labels.where("doc_id % 3 = 0"), "doc_id").collect()
     right = [r["__tm_kept"] == (r.quality == 1) for r in rated]
     assert sum(right) / len(right) > 0.93
@@ -48,11 +51,16 @@ def test_edges(spark):
 
 def test_without_labels_everything_with_words_stays(spark):
     docs = documents(spark, ["text", None])
-    none = spark.createDataFrame([], "doc_id long, quality int")
+    none = spark.createDataFrame([], "doc_id long, rating int")
     kept = {r.doc_id: r["__tm_kept"] for r in q.rate_documents(docs, q.fit_on(docs, none)).collect()}
     assert kept == {1: True, 2: False}
 
 
+def test_ratings(spark):
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 1, 0), (4, 1, None), (5, None, 0)], "doc_id long, quality int, toxic int")
+    assert [r.rating for r in q.graded_ratings(labels).orderBy("doc_id").collect()] == [0, 1, 2, 2, None]
+
+
 def test_score_does_not_depend_on_the_slice():
     import pyarrow as pa
 

@@ -39,5 +39,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if state == seen:
             break
         seen = state
+    else:
+        raise RuntimeError(f"no end after {most_rounds} rounds")
     stars = spark.read.parquet(path)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(stars.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

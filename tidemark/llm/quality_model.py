@@ -25,9 +25,6 @@ from tidemark.llm.textscan import NOT_ALNUM, Slice, slices, words
 
 #: Labelled documents of each grade that the model is fitted on, and the longest of them.
 SAMPLE_PER_GRADE, SAMPLE_CHARS = 2000, 50_000
-#: Tail probability from which a corpus keeps a document. The sample holds as many of each grade, a corpus far more good
-#: ones, so a document on the sample's border is more likely good than not.
-KEEP_AT = 0.25
 _HASHED, _BINNED = 1 << 13, 64
 _SCALE = 8.0
 
@@ -177,5 +174,11 @@ def rate_documents(docs: DataFrame, model: OrdinalModel, reach: int = 1, at_leas
     )
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, label: str = "quality", per_grade: int = SAMPLE_PER_GRADE, max_chars: int = SAMPLE_CHARS) -> OrdinalModel:
+def graded_ratings(labels: DataFrame) -> DataFrame:
+    """``labels`` (quality 0/1, toxic 0/1) as (doc_id, rating): 0 poor, 1 good but toxic, 2 good. No quality, no rating."""
+    rating = F.when(F.col("quality") == 0, 0).when(F.col("quality") == 1, F.when(F.col("toxic") == 1, 1).otherwise(2))
+    return labels.select("doc_id", rating.alias("rating"))
+
+
+def fit_on(docs: DataFrame, labels: DataFrame, label: str = "rating", per_grade: int = SAMPLE_PER_GRADE, max_chars: int = SAMPLE_CHARS) -> OrdinalModel:
     return fit(labelled_sample(docs, labels, label, per_grade, max_chars))

@@ -46,7 +46,8 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    rated = quality_model.rate_documents(docs, quality_model.fit_on(docs, _table(spark, sf_dir, "labels")), at_least=quality_model.KEEP_AT)
+    model = quality_model.fit_on(docs, quality_model.graded_ratings(_table(spark, sf_dir, "labels")))
+    rated = quality_model.rate_documents(docs, model)
     return rated.select("doc_id", F.col("__tm_expected").alias("expected_grade"), F.col("__tm_tail").alias("tail_probability"), F.col("__tm_kept").alias("kept"))
 
 
