@@ -10,11 +10,12 @@ The steps:
    shingle of both prefixes, and only shared shingles are listed, with set size and position. A set whose prefix is
    all its own has no list at all.
 3. *Index skipping.* An entry is skipped when the position, here and there, or the sizes leave too little overlap.
-4. *Answer skipping.* The set that has a shingle earliest leads its list and is compared with every member. A member
-   that is similar to the leader takes over the leader's answers, the component found so far: two sets that share
-   their answers are never compared. What is left are entries outside the leader's component. They are paired with
-   others of their list only if the overlap derived from what each shares with the leader can be enough, and then
-   compared. All links between components are found so, and components are joined again.
+4. *Answer skipping.* Lists are cut by bands of sizes, so that members can be similar to their leader, the set that has
+   the shingle earliest. It is compared with every member, and a similar one takes over the leader's answers, the
+   component found so far: two sets that share their answers are never compared. What is left are entries outside the
+   leader's component. They are paired with others of their list only if the overlap derived from what each shares
+   with the leader can be enough, and then compared. All links between components are found so, and components are
+   joined again.
 
 Candidates from hashes are verified by exact overlap of the shared shingles, which is the whole overlap.
 
@@ -26,6 +27,7 @@ give the same rows again when read again.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 
@@ -302,21 +304,31 @@ def link_components(docs: DataFrame, threshold: Fraction = Fraction(3, 4), width
     sets = persist(listed.drop("s1", "s2"), "listed")
     entries = persist(sets.mapInArrow(_list_entries(threshold), "token long, node long, n long, own long, pos long"), "entries")
 
-    leaders = entries.groupBy("token").agg(F.min(F.struct("pos", "own", "n", "node")).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    leaders = persist(leaders.select("token", F.col("l.node").alias("node"), F.col("l.n").alias("n"), F.col("l.own").alias("own"), F.col("l.pos").alias("pos")), "leaders")
-    star = entries.alias("x").join(leaders.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.node") != F.col("y.node")) & _enough(threshold, "x", "y"))
+    # Sizes fall in bands so wide that similar sets are in one band or in neighbours. A list is a shingle and a band: the
+    # sets of the band that have the shingle, one of them leading, and with them the sets of the band below.
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
+    entries = entries.withColumn("below", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("below").cast("int"))
+    leaders = entries.groupBy("token", "band").agg(F.min(F.when(~F.col("below"), F.struct("pos", "own", "n", "node"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1 AND l IS NOT NULL")
+    leaders = persist(leaders.select("token", "band", F.col("l.node").alias("node"), F.col("l.n").alias("n"), F.col("l.own").alias("own"), F.col("l.pos").alias("pos")), "leaders")
+    same_list = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
+    star = entries.alias("x").join(leaders.alias("y"), same_list & (F.col("x.node") != F.col("y.node")) & _enough(threshold, "x", "y"))
     star = star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     seen = persist(_verify(star, sets, threshold), "seen")
     found = persist(components(seen.where("similar").select("a", "b").union(copies)), "found")
 
     # What the leader's answers do not cover: entries of lists that reach over more than one component.
     entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lead = leaders.select("token", F.col("node").alias("lead")).join(found.withColumnRenamed("node", "lead"), "lead", "left").select("token", "lead", F.coalesce("component", "lead").alias("lead_component"))
-    mixed = entries.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token")
+    lead = leaders.select("token", "band", F.col("node").alias("lead")).join(found.withColumnRenamed("node", "lead"), "lead", "left").select("token", "band", "lead", F.coalesce("component", "lead").alias("lead_component"))
+    mixed = entries.groupBy("token", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least")).where("c0 < c1").select("token", "band", "least")
     from_lead = seen.select(F.col("a").alias("lead"), F.col("b").alias("node"), "held", "rest", "hidden")
-    open_lists = persist(entries.join(mixed, "token").join(lead, "token").where("node != lead").join(from_lead, ["lead", "node"], "left"), "open")
+    # an entry that leaves too little even for the smallest set of its list meets nobody
+    p, q = threshold.numerator, threshold.denominator
+    entries = entries.join(mixed, ["token", "band"]).where(f"{p + q} * (n - pos) >= {p} * (n + least)").drop("least")
+    open_lists = entries.join(lead, ["token", "band"]).where("node != lead").join(from_lead, ["lead", "node"], "left")
+    open_lists = persist(open_lists, "open")
     outside = open_lists.where("component != lead_component")
-    rest = outside.alias("x").join(open_lists.alias("y"), (F.col("x.token") == F.col("y.token")) & (F.col("x.component") != F.col("y.component")) & _enough(threshold, "x", "y") & _derived(threshold, "x", "y"))
+    apart = (F.col("x.component") != F.col("y.component")) & ~(F.col("x.below") & F.col("y.below"))
+    rest = outside.alias("x").join(open_lists.alias("y"), same_list & apart & _enough(threshold, "x", "y") & _derived(threshold, "x", "y"))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = persist(_verify(rest, sets, threshold).where("similar").select("a", "b"), "more")
     joined = components(found.where("node != component").union(more)) if more.head(1) else found
