@@ -50,6 +50,34 @@ def test_strict_rules(spark, tmp_path):
     assert read(spark, write(tmp_path, "latin.csv", "a\né\n", "latin-1"), strict=True, encoding="latin-1") == [("é",)]
 
 
+@pytest.mark.parametrize("size", ["7", "20", "64", "1000"])
+def test_strict_splits_give_the_same_rows(spark, tmp_path, size):
+    import random
+
+    rng = random.Random(size)
+    bits = ["a", "bc", ",", ",", '"', '""', "\n", "\r\n", "\r", " ", "é", '"x\ny"', '"q,""q"']
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        want = []
+        folder = tmp_path / "in"
+        folder.mkdir()
+        for f in range(3):
+            text = "h1,h2,h3\n" + "".join(rng.choice(bits) for _ in range(rng.choice([0, 30, 120]))) + rng.choice(["", "\n", '"open\ncell', "\r"])
+            (folder / f"{f}.csv").write_bytes(text.encode())
+            if text.count('"') % 2:
+                text = text.removesuffix("\n")  # the one line end that cannot be told from none
+            want += [tuple((r + ["", "", ""])[:3]) for r in list(d.records([text], ","))[1:]]
+        raw = d.read_text(spark, str(folder), delimiter=",", strict=True)
+        got = raw.df.orderBy("__rowId").collect()
+        assert [tuple(r)[1:] for r in got] == want and [r["__rowId"] for r in got] == list(range(len(want)))
+        assert raw.plain.count() == len(want)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
 def test_records_do_not_depend_on_pieces():
     text = QUOTED + '\r"a\nb""",x\r\n\n"open'
     whole = list(d.records([text], ","))

@@ -665,6 +665,14 @@ def csv_multiline_pages(spark, sf_dir):
     return back.select((F.col("page_id") - 100_000).cast("long").alias("page_id"), F.md5("html").alias("h"))
 
 
+@add("csv_strict_pages", "SELECT page_id, md5(html) AS h, row_number() OVER (ORDER BY page_id) - 1 AS __rowId FROM pages")
+def csv_strict_pages(spark, sf_dir):
+    path = _scratch(spark, "pages.csv")
+    export.write_csv(table(spark, sf_dir, "pages").orderBy("page_id").select((F.col("page_id") + 100_000).alias("page_id"), "html"), path)
+    back = Dataset.read_csv(spark, path, lenient=True, strict=True).df
+    return back.select((F.col("page_id") - 100_000).cast("long").alias("page_id"), F.md5("html").alias("h"), "__rowId")
+
+
 @add("export_csv_text", """SELECT '"' || r_regionkey || '","' || replace(r_name, '"', '""') || '"' AS line FROM region""")
 def export_csv_text(spark, sf_dir):
     df = table(spark, sf_dir, "region")

@@ -1,8 +1,11 @@
 """Delimited text: delimiter detection, headers, and two readers.
 
 The fast reader is Spark's own. The strict one follows the data model where Spark differs: blank lines are rows, a
-quote anywhere opens a quoted stretch, and a lone CR ends a record. It reads each file in one task, as gzip does
-anyway, in a streaming pass over its text.
+quote anywhere opens a quoted stretch, and a lone CR ends a record. It reads splits of a file in parallel: since every
+quote turns the quoted state around, whether a split begins inside quotes is the parity of the quotes before it, which
+one native count tells. Records that lie over split borders come as fragments, and only those are put together file by
+file. Gzip, and other encodings than UTF-8, are read a file to a task. Where the last quote of a file is never closed,
+the line end at the very end of the file is not kept.
 """
 
 from __future__ import annotations
@@ -110,11 +113,16 @@ def header_names(cells: list[str]) -> list[str]:
     return out
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Names of all files, without reading any."""
+    return sorted(spark.read.format("binaryFile").load(path).inputFiles())
+
+
 def _first_file(spark: SparkSession, path: str) -> str:
-    files = spark.read.format("binaryFile").load(path).select("path").orderBy("path").limit(1).collect()
+    files = _files(spark, path)
     if not files:
         raise FileNotFoundError(path)
-    return files[0].path
+    return files[0]
 
 
 def _head(spark: SparkSession, path: str, encoding: str) -> str:
@@ -186,7 +194,9 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
     names = header_names(next(records([head], delimiter), []))
     if not names:
         raise ValueError(f"{path} has no header")
-    if strict:
+    if strict and encoding.lower().replace("_", "-") in ("utf-8", "utf8", "us-ascii", "ascii") and not any(is_gzip(f) for f in _files(spark, path)):
+        rows, placed = _strict_splits(spark, path, len(names), delimiter, row_id)
+    elif strict:
         kind = ", ".join(["__tm_file string", "__tm_place long", *(f"c{k} string" for k in range(len(names)))])
         rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_strict_rows(len(names), delimiter, encoding), kind)
         placed = numbered(rows, ["__tm_file"], "__tm_place", row_id)
@@ -198,6 +208,124 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
     return Raw(placed.select(column(row_id), *cells), rows.select(*cells), names, delimiter)
 
 
+def _split_rows(columns: int, delimiter: str):
+    """Lines of splits, in order, to complete records and the fragments at the borders.
+
+    ``part`` is 0 for a record. Lines before the first that ends outside quotes, in a split that begins inside them, are
+    a fragment 1 (or 2, if there is no such line: the split lies within a record), and lines after the last a fragment 3.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, {}
+
+        def parsed(flush: bool = False) -> Iterator[pa.RecordBatch]:
+            if state["closed"] and (flush or state["size"] > 1 << 20):
+                rows = list(records(state["closed"], delimiter))[state["skip"] :]
+                state["skip"] = 0
+                if rows:
+                    yield _parts(state, [(0, (r + [""] * columns)[:columns], None) for r in rows], columns)
+                state["closed"], state["size"] = [], 0
+
+        def finished() -> Iterator[pa.RecordBatch]:
+            yield from parsed(True)
+            if state["lines"]:
+                text = "\n".join(state["lines"]) + ("" if state["last"] else "\n")
+                if state["quoted"]:
+                    yield _parts(state, [(2 if state["head"] else 3, None, text)], columns)
+                else:  # the last line of a file without a line end after it
+                    state["closed"] = [text]
+                    yield from parsed(True)
+
+        for batch in batches:
+            for file, block, last, quoted, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (file, block) != now:
+                    if now is not None:
+                        yield from finished()
+                    now = file, block
+                    state = {"file": file, "block": block, "last": last, "quoted": quoted, "head": quoted, "lines": [], "closed": [], "size": 0, "skip": int(block == 0), "at": 0}
+                    line = line.removeprefix("\ufeff") if block == 0 else line
+                state["lines"].append(line)
+                if line.count('"') % 2:
+                    state["quoted"] = not state["quoted"]
+                if not state["quoted"]:
+                    text = "\n".join(state["lines"]) + "\n"
+                    state["lines"] = []
+                    if state["head"]:
+                        state["head"] = False
+                        yield _parts(state, [(1, None, text)], columns)
+                    else:
+                        state["closed"].append(text)
+                        state["size"] += len(text)
+                        yield from parsed()
+        if now is not None:
+            yield from finished()
+
+    return run
+
+
+def _parts(state: dict, rows: list[tuple[int, list[str] | None, str | None]], columns: int) -> pa.RecordBatch:
+    n = len(rows)
+    cells = [pa.array([None if r[1] is None else r[1][k] for r in rows], pa.string()) for k in range(columns)]
+    # a fragment at the end stands after the split's records, one at the beginning before them
+    place = [(1 << 60) if r[0] == 3 else -1 if r[0] else state["at"] + i for i, r in enumerate(rows)]
+    state["at"] += sum(r[0] == 0 for r in rows)
+    fixed = [pa.array([state["file"]] * n, pa.string()), pa.array([state["block"]] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(place, pa.int64()), pa.array([r[2] for r in rows], pa.string())]
+    return pa.RecordBatch.from_arrays([*fixed, *cells], ["__tm_file", "__tm_block", "part", "__tm_place", "text", *(f"c{k}" for k in range(columns))])
+
+
+def _joined(columns: int, delimiter: str):
+    """Fragments of whole files, by block and place, to the records they make, placed where the first one was."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[str] = []
+        where = None
+
+        def made() -> Iterator[pa.RecordBatch]:
+            rows = list(records(held, delimiter))
+            state = {"file": where[0], "block": where[1], "at": 1 << 60}
+            yield _parts(state, [(0, (r + [""] * columns)[:columns], None) for r in rows], columns)
+
+        for batch in batches:
+            for file, block, part, text in zip(*(batch.column(n).to_pylist() for n in ("__tm_file", "__tm_block", "part", "text")), strict=True):
+                if held and (file != where[0] or part == 3):
+                    yield from made()
+                    held = []
+                if not held:
+                    where = file, block
+                held.append(text)
+                if part == 1:
+                    yield from made()
+                    held = []
+        if held:
+            yield from made()
+
+    return run
+
+
+def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str, row_id: str) -> tuple[DataFrame, DataFrame]:
+    lines = spark.read.option("lineSep", "\n").text(path)
+    split = ["__tm_file", "__tm_block"]
+    lines = lines.select(F.col("_metadata.file_path").alias("__tm_file"), F.col("_metadata.file_block_start").alias("__tm_block"), "value")
+    quotes = F.sum((F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
+    state, begins = 0, []
+    counted = lines.groupBy(*split).agg(quotes.alias("q")).orderBy(*split).collect()  # a row for each split
+    for r, after in zip(counted, [*counted[1:], None], strict=True):
+        last = after is None or after["__tm_file"] != r["__tm_file"]
+        begins.append((r["__tm_file"], r["__tm_block"], last, bool(state)))
+        state = 0 if last else (state + r.q) % 2
+    known = spark.createDataFrame(begins, "__tm_file string, __tm_block long, last boolean, quoted boolean")
+    kind = ", ".join(["__tm_file string", "__tm_block long", "part int", "__tm_place long", "text string", *(f"c{k} string" for k in range(columns))])
+    # the hash join keeps the order of lines, which a sort would not
+    parts = lines.join(F.broadcast(known), split).select("__tm_file", "__tm_block", "last", "quoted", "value").mapInArrow(_split_rows(columns, delimiter), kind)
+    rows = parts.where("part = 0")
+    if any(quoted for *_, quoted in begins):
+        pieces = parts.where("part > 0").repartition("__tm_file").sortWithinPartitions("__tm_file", "__tm_block", "__tm_place")
+        rows = rows.unionAll(pieces.mapInArrow(_joined(columns, delimiter), kind))
+    # records put together come after those of the split that their first fragment was in
+    placed = rows.withColumn("__tm_joined", F.col("__tm_place") >= 1 << 60).withColumn("__tm_place", F.col("__tm_place") % (1 << 60)).drop("part", "text")
+    return rows, numbered(placed, [*split, "__tm_joined"], "__tm_place", row_id)
+
+
 @dataclass(frozen=True)
 class Loaded:
     """A typed table, and what was found out about its columns; ``rows`` is the row count of the inference pass."""
