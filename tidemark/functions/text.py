@@ -32,7 +32,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def trimmed(c: Column) -> Column:
-    return F.btrim(c, F.lit(JS_SPACE))
+    """Without white space at both ends. Most text begins and ends with a visible ASCII character and is left as it is."""
+    visible = F.ascii(c).between(33, 126) & F.ascii(F.substring(c, -1, 1)).between(33, 126)
+    return F.when(visible, c).otherwise(F.btrim(c, F.lit(JS_SPACE)))
 
 
 def norm(c: Column, case_sensitive: bool = False, composed: bool = True) -> Column:
