@@ -111,14 +111,12 @@ def _blocks(n_ranges: int, width: int):
                 weight[code == 0] = hot_weight
                 cuts = np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])
                 rows = []
-                for r in range(n_ranges):
+                for r in [0, *np.flatnonzero(np.diff(cuts)[1:]) + 1]:
                     a, b = cuts[r], cuts[r + 1]
-                    if a == b and r:
-                        continue
                     steps = np.diff(short[a:b], prepend=np.uint64(0))
                     # a hot entry says 0 and then how many documents it stands for
                     owners = np.concatenate([code[a:b], weight[a:b][code[a:b] == 0]]).astype("<u2")
-                    rows.append((r, (task << 32) + made, _planes(steps, 6), owners.tobytes(), None if r else home))
+                    rows.append((int(r), (task << 32) + made, _planes(steps, 6), owners.tobytes(), None if r else home))
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _BLOCK, strict=True)], [n for n, _ in _BLOCK])
 
@@ -202,7 +200,9 @@ def document_sets(docs: DataFrame, t: Fraction, width: int) -> DataFrame:
     alone and the shared ones from rare to frequent, 6 bytes each."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     stored = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    n_ranges = max(16, min(1 << 20, stored // 4 // RANGE_ENTRIES))  # about four stored bytes for each word
+    if stored >= 1 << 53:  # the plan does not know its size
+        stored = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_ranges = max(16, stored // 4 // RANGE_ENTRIES)  # about four stored bytes for each word
     blocks = rows.mapInArrow(_blocks(n_ranges, width), _BLOCK_DDL)
     counted = blocks.groupBy("range").applyInArrow(_count_range, _COUNTED_DDL)
     return counted.groupBy("block").applyInArrow(_gather_sets(t), _SET_DDL)
