@@ -5,9 +5,12 @@ Order is shown as a rank column, because results are compared as sets.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.dataset import Dataset, checkpoints
@@ -69,8 +72,6 @@ def add(name: str, sql: str | None = None):
 def ranked(view: View, columns: Sequence[str], limit: int | None = None, offset: int = 0) -> DataFrame:
     """A page with the place of each row in it. Only the page is numbered, in one task, so it must have a limit."""
     page = view.window(offset, limit).select(*columns, F.monotonically_increasing_id().alias("__tm_at")).coalesce(1)
-    from pyspark.sql import Window
-
     return page.withColumn("rank", F.row_number().over(Window.orderBy("__tm_at")).cast("long") + offset).drop("__tm_at")
 
 
@@ -357,8 +358,6 @@ def _first_seen(order: str, limit: int, offset: int) -> str:
 
 
 def _group_page(view: View, offset: int, limit: int) -> DataFrame:
-    from pyspark.sql import Window
-
     page = view.group_by("user_id").page(offset, limit).select("user_id", "rows", F.monotonically_increasing_id().alias("__tm_at")).coalesce(1)
     return page.withColumn("rank", F.row_number().over(Window.orderBy("__tm_at")).cast("long") + offset).drop("__tm_at")
 
@@ -397,8 +396,6 @@ def distribution(spark, sf_dir):
 
 @add("distribution_asc", "SELECT source AS value, count(*)::BIGINT AS count, row_number() OVER (ORDER BY count(*), source) AS rank FROM documents GROUP BY 1")
 def distribution_asc(spark, sf_dir):
-    from pyspark.sql import Window
-
     items = profile.distribution_items(table(spark, sf_dir, "documents"), "source", ascending=True)
     return items.withColumn("rank", F.row_number().over(Window.orderBy("count", "value")).cast("long"))
 
@@ -634,12 +631,11 @@ def coerce_strict_rules(spark, sf_dir):
 
 
 def _scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that the cluster can reach."""
-    import tempfile
-    import uuid
-
+    """A fresh folder that the whole cluster can reach; a temporary one in local mode."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp() + "/" + name
+    if not shared and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{(shared or tempfile.mkdtemp()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 @add("csv_roundtrip_typed", "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS __rowId, c_name, c_acctbal, c_mktsegment FROM customer")
@@ -693,8 +689,6 @@ def clipboard_rows(spark, sf_dir):
 
 @add("stream_filtered_counts", "SELECT date_trunc('day', ts) AS day, event_type, count(*)::BIGINT AS rows FROM events WHERE value > 100 GROUP BY 1, 2")
 def stream_filtered_counts(spark, sf_dir):
-    import uuid
-
     from tidemark.streaming import ingest
 
     schema = table(spark, sf_dir, "events").schema
