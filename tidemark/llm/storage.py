@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -12,10 +13,13 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private temporary one only where that is unset (tests)."""
+    """The folder named by ``spark.checkpoint.dir``. Where that is unset, a private temporary one, but only in local mode:
+    executors of a cluster would not see each other's files."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not getattr(spark, "_tidemark_dir", None):
         spark._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return spark._tidemark_dir
