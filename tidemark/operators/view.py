@@ -12,12 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import JS_SPACE
-from tidemark.functions.text import display, norm
+from tidemark.functions.text import display, kind_of, norm
 from tidemark.operators.grouping import Grouped, group_by
 from tidemark.operators.ordering import ordering
 from tidemark.operators.predicates import Scope, column, compile_node, compile_predicate, names_labels, warnings
 from tidemark.operators.suggest import DidYouMean, did_you_mean
-from tidemark.plans.nodes import Aggregation, Node, Sort, leaves
+from tidemark.plans.nodes import Aggregation, Kind, Node, Sort, leaves
 
 if TYPE_CHECKING:
     from tidemark.dataset import Dataset
@@ -101,7 +101,14 @@ class View:
             return F.lit(False)
         needle = unicodedata.normalize("NFC", s.query.strip(JS_SPACE))
         needle = needle if s.case_sensitive else needle.lower()
-        cells = [norm(display(column(c), schema[c].dataType), s.case_sensitive, self.dataset.composed(c)) for c in chosen]
+
+        def cell(name: str) -> Column:
+            shown, t = display(column(name), schema[name].dataType), schema[name].dataType
+            if kind_of(t) == Kind.STRING:
+                return norm(shown, s.case_sensitive, self.dataset.composed(name))
+            return shown if s.case_sensitive else F.lower(shown)  # numbers, datetimes and truth values need no trimming
+
+        cells = [F.coalesce(cell(c), F.lit("")) for c in chosen]
         return reduce(Column.__or__, [F.contains(c, F.lit(needle)) for c in cells])
 
     @property
