@@ -81,6 +81,14 @@ def ratios(u: np.ndarray, bounds: np.ndarray, move: np.ndarray, start: float) ->
     return r, s
 
 
+def _emissions(weights: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The sum of each word's feature weights, a feature at a time, which needs no array of words by features."""
+    out = weights[x[:, 0]].astype(np.float64)
+    for k in range(1, x.shape[1]):
+        out += weights[x[:, k]]
+    return out
+
+
 @dataclass
 class ToxicModel:
     emission: np.ndarray = field(default_factory=lambda: np.zeros(_BUCKETS, np.float32))
@@ -93,7 +101,7 @@ class ToxicModel:
 
     def marginals(self, part: Slice) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, bounds, x = features(part)
-        r, s = ratios(self.emission[x].sum(1, dtype=np.float64) + self.bias, bounds, self.move, self.start)
+        r, s = ratios(_emissions(self.emission, x) + self.bias, bounds, self.move, self.start)
         both = r * s
         return starts, ends, bounds, both / (1 + both)
 
@@ -147,7 +155,8 @@ def fit(sample: list[tuple[str, int]], rounds: int = 25, rate: float = 0.5, deca
         offset += len(x)
     x, bounds = np.concatenate(found), np.concatenate(bounds)
     marks = marking_features(x, bounds, toxic)
-    y = marks[x].any(1) & np.repeat(toxic, np.diff(bounds))
+    y = np.repeat(toxic, np.diff(bounds))
+    y &= np.logical_or.reduce([marks[x[:, k]] for k in range(x.shape[1])])
 
     # the field sees all toxic documents and some others
     clean = np.flatnonzero(~toxic)
@@ -162,7 +171,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 25, rate: float = 0.5, deca
     pair = np.zeros((2, 2))
     np.add.at(pair, (sy[second - 1].astype(int), sy[second].astype(int)), 1)
     used = np.unique(sx)
-    slot = np.zeros(_BUCKETS, np.int64)
+    slot = np.zeros(_BUCKETS, np.int32)
     slot[used] = np.arange(len(used))
     sx = slot[sx]
     theta = np.zeros(len(used) + 1 + 4 + 1)
@@ -171,15 +180,16 @@ def fit(sample: list[tuple[str, int]], rounds: int = 25, rate: float = 0.5, deca
     theta[len(used)] = base
     for _ in range(rounds):
         emission, bias, move, start = theta[: len(used)], theta[len(used)], theta[len(used) + 1 : -1].reshape(2, 2), theta[-1]
-        u = emission[sx].sum(1) + bias
+        u = _emissions(emission, sx) + bias
         r, s = ratios(u, sb, move, start)
         p = r * s / (1 + r * s)
         wrong = sy - p
         # pair marginals: forward state, move, and what is ahead of the second word
         ahead = np.exp(np.clip(u, -30, 30))[second] * s[second]
         t, back = np.exp(move), r[second - 1]
-        joint = np.stack([np.full(len(second), t[0, 0]), t[0, 1] * ahead, t[1, 0] * back, t[1, 1] * back * ahead], 1)
-        expected = (joint / joint.sum(1, keepdims=True)).sum(0).reshape(2, 2)
+        joint = [np.full(len(second), t[0, 0]), t[0, 1] * ahead, t[1, 0] * back, t[1, 1] * back * ahead]
+        whole = sum(joint)
+        expected = np.array([(j / whole).sum() for j in joint]).reshape(2, 2)
         g_emission = sum(np.bincount(sx[:, k], wrong, minlength=len(used)) for k in range(sx.shape[1]))
         g = np.concatenate([g_emission / len(sy) - decay * emission, [wrong.sum() / len(sy)], ((pair - expected) / len(sy)).ravel(), [wrong[heads].sum() / len(sy)]])
         if used[0] == 0:
@@ -188,7 +198,7 @@ def fit(sample: list[tuple[str, int]], rounds: int = 25, rate: float = 0.5, deca
         theta = theta + rate * g / np.sqrt(square)
     model.emission[used] = theta[: len(used)]
     model.bias, model.move, model.start = float(theta[len(used)]), theta[len(used) + 1 : -1].reshape(2, 2), float(theta[-1])
-    r, s = ratios(model.emission[x].sum(1, dtype=np.float64) + model.bias, bounds, model.move, model.start)
+    r, s = ratios(_emissions(model.emission, x) + model.bias, bounds, model.move, model.start)
     _calibrate(model, evidence(r * s / (1 + r * s), bounds), toxic)
     return model
 
