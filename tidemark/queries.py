@@ -471,6 +471,12 @@ def fn_norm(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", norm(F.substring("text", 1, 60), composed=False).alias("n"))
 
 
+@add("fn_norm_whole", r"SELECT doc_id, length(n)::INT AS n_chars, md5(n) AS digest FROM (SELECT doc_id, lower(nfc_normalize(trim(text, ' ' || chr(9) || chr(10) || chr(13)))) AS n FROM documents)")
+def fn_norm_whole(spark, sf_dir):
+    n = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text"), composed=False).alias("n"))
+    return n.select("doc_id", F.char_length("n").alias("n_chars"), F.md5("n").alias("digest"))
+
+
 @add("fn_trim", "SELECT n_nationkey, n_name AS t FROM nation")
 def fn_trim(spark, sf_dir):
     return table(spark, sf_dir, "nation").select("n_nationkey", trimmed(F.concat(F.lit(" ﻿\t "), F.col("n_name"), F.lit("　\n"))).alias("t"))
