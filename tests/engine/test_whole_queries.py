@@ -13,3 +13,32 @@ def test_norm_reads_texts_to_their_end(spark, tmp_path):
     got = {r.doc_id: (r.n_chars, r.digest) for r in QUERIES["fn_norm_whole"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(want)}
     assert got[3] == got[4]
+
+
+def test_sorts_rank_every_row(spark, tmp_path, monkeypatch):
+    n = 5000
+    brands = spark.range(n).selectExpr("id AS p_partkey", "concat('Brand#', id * 7919 % 120) AS p_brand", "CAST(id % 50 AS INT) AS p_size", "'x' AS p_name", "'y' AS p_type")
+    brands.repartition(7).write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr("tidemark.queries._scratch", lambda spark, name: f"{tmp_path}/{name}-{next(folders)}")
+    folders = iter(range(9))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, however few rows
+    natural = sorted(range(n), key=lambda i: (i * 7919 % 120, i))
+    got = QUERIES["sort_string_natural_all"](spark, str(tmp_path)).collect()
+    assert [r.p_partkey for r in sorted(got, key=lambda r: r.rank)] == natural
+    assert sorted(r.rank for r in got) == list(range(1, n + 1))
+    by_size = QUERIES["sort_num_desc_tiebreak_all"](spark, str(tmp_path)).collect()
+    assert [r.p_partkey for r in sorted(by_size, key=lambda r: r.rank)] == sorted(range(n), key=lambda i: (-(i % 50), i))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert spark.read.parquet(f"{tmp_path}/ranked-0").selectExpr("shiftright(__tm_at, 33)").distinct().count() > 1
+
+
+def test_datetime_nulls_are_ranked_at_both_ends(spark, sf, tmp_path, monkeypatch):
+    folders = iter(range(9))
+    monkeypatch.setattr("tidemark.queries._scratch", lambda spark, name: f"{tmp_path}/{name}-{next(folders)}")
+    n = spark.read.parquet(f"{sf}/events.parquet").count()
+    got = QUERIES["sort_datetime_nulls_all"](spark, sf).collect()
+    down = {r.event_id: r.rank for r in got[:n]}
+    up = {-r.event_id: r.rank for r in got[n:]}
+    assert len(got) == 2 * n and sorted(down.values()) == sorted(up.values()) == list(range(1, n + 1))
+    empty = [i for i in down if i % 7 == 0]
+    assert max(down[i] for i in empty) == len(empty) and min(up[i] for i in empty) == n - len(empty) + 1

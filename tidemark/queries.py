@@ -9,6 +9,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -75,6 +76,22 @@ def ranked(view: View, columns: Sequence[str], limit: int | None = None, offset:
     return page.withColumn("rank", F.row_number().over(Window.orderBy("__tm_at")).cast("long") + offset).drop("__tm_at")
 
 
+def ranked_all(spark: SparkSession, view: View, columns: Sequence[str]) -> DataFrame:
+    """Every row with its rank: written in sorted ranges, then numbered by place in a range and the rows of ranges before.
+
+    Written, because a range partitioning that is computed twice may cut elsewhere.
+    """
+    path = _scratch(spark, "ranked")
+    # the high bits of the id are the range, the low 33 the place in it
+    view.df.select(*columns, F.monotonically_increasing_id().alias("__tm_at")).write.parquet(path)
+    rows = spark.read.parquet(path).withColumn("__tm_range", F.shiftright("__tm_at", 33))
+    sizes = sorted(tuple(r) for r in rows.groupBy("__tm_range").count().collect())  # a row for each range
+    before = list(accumulate((n for _, n in sizes), initial=0))
+    firsts = spark.createDataFrame([(r, b) for (r, _), b in zip(sizes, before)], "__tm_range long, __tm_first long")
+    place = F.col("__tm_at").bitwiseAND((1 << 33) - 1)
+    return rows.join(F.broadcast(firsts), "__tm_range").select(*columns, (F.col("__tm_first") + place + 1).alias("rank"))
+
+
 def P(column: str, op: str, value=None, value2=None, cs: bool = False, id: str | None = None) -> Predicate:  # noqa: N802, A002
     return Predicate(column, Op(op), value, value2, cs, id)
 
@@ -253,6 +270,37 @@ def sort_datetime_nulls(spark, sf_dir):
     return ranked(view.sort([Sort("ts", True)]), ["event_id"], 1500).unionAll(up)
 
 
+def _rank_all_sql(columns: str, source: str, order: str) -> str:
+    return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS rank FROM {source}"
+
+
+@add("sort_num_desc_tiebreak_all", _rank_all_sql("p_partkey, p_size", "part", "p_size DESC, p_partkey"))
+def sort_num_desc_tiebreak_all(spark, sf_dir):
+    return ranked_all(spark, dataset(spark, sf_dir, "part").view().sort([Sort("p_size", True)]), ["p_partkey", "p_size"])
+
+
+@add("sort_multi_all", _rank_all_sql("o_orderkey", "orders", "o_orderpriority, o_totalprice DESC, o_orderkey"))
+def sort_multi_all(spark, sf_dir):
+    return ranked_all(spark, dataset(spark, sf_dir, "orders").view().sort([Sort("o_orderpriority"), Sort("nowhere"), Sort("o_totalprice", True)]), ["o_orderkey"])
+
+
+@add("sort_string_natural_all", _rank_all_sql("p_partkey, p_brand", "part", f"{_NATURAL.format('p_brand')}, p_partkey"))
+def sort_string_natural_all(spark, sf_dir):
+    return ranked_all(spark, dataset(spark, sf_dir, "part").view().sort([Sort("p_brand")]), ["p_partkey", "p_brand"])
+
+
+@add("sort_null_rules_all", _rank_all_sql("event_id", _HOLES, "coalesce(even, false), coalesce(event_type, ''), coalesce(value, 0) DESC, event_id"))
+def sort_null_rules_all(spark, sf_dir):
+    return ranked_all(spark, holed(spark, sf_dir).view().sort([Sort("even"), Sort("event_type"), Sort("value", True)]), ["event_id"])
+
+
+@add("sort_datetime_nulls_all", f"{_rank_all_sql('event_id', _HOLES, 'ts DESC NULLS FIRST, event_id')} UNION ALL {_rank_all_sql('-event_id', _HOLES, 'ts ASC NULLS LAST, event_id')}")
+def sort_datetime_nulls_all(spark, sf_dir):
+    view = holed(spark, sf_dir).view()
+    up = ranked_all(spark, view.sort([Sort("ts")]), ["event_id"]).withColumn("event_id", -F.col("event_id"))
+    return ranked_all(spark, view.sort([Sort("ts", True)]), ["event_id"]).unionAll(up)
+
+
 @add("page_window", _rank_sql("o_orderkey", "orders", "o_totalprice DESC, o_orderkey", 50, 100))
 def page_window(spark, sf_dir):
     return ranked(dataset(spark, sf_dir, "orders").view().sort([Sort("o_totalprice", True)]), ["o_orderkey"], 50, 100)
