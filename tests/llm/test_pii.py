@@ -70,3 +70,9 @@ def test_edges(spark):
     long = "word " * 20000 + "70.123.182.155 " * 500
     ((out, n),) = hidden(spark, [long])
     assert n == 500 and "70.123.182.155" not in out and out.startswith("word " * 20000)
+
+
+@pytest.mark.parametrize("value", ["password: correcthorsebattery", "token: abcdefghijkl", "AKIA" + "ABCDEFGHIJKLMNOP", "ghp_" + "abcdefghij" * 3, "sk-" + "abcdefghijklmnop", "abcdefAB" * 4])
+def test_values_without_a_digit_are_replaced_and_linked(spark, value):
+    (alone, n), (beside, m) = hidden(spark, [f"say {value} now", f"say {value} now 7"])
+    assert n == m == 1 and value not in alone and beside == f"{alone} 7"
