@@ -85,3 +85,10 @@ def test_components_of_graphs(spark):
     got = {r.node: r.component for r in c.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {x: root(x) for x in parent if any(x in e and e[0] != e[1] for e in edges)}
     assert c.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_homes_of_blocks_are_spread_over_ranges(spark):
+    docs = documents(spark, corpus(5)).repartition(12).select("doc_id", "text")
+    blocks = docs.mapInArrow(j._blocks(16, 5), j._BLOCK_DDL).where("home IS NOT NULL").select("block", "range").collect()
+    assert len(blocks) == len({r.block for r in blocks}) == 12
+    assert len({r.range for r in blocks}) > 6

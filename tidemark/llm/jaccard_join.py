@@ -4,8 +4,8 @@ The steps:
 
 1. *Frequencies.* Tasks hash shingles (48 bits of a 64-bit hash name one) and send each range of hashes its share, in
    blocks: sorted differences with the local number of the document. The range counts documents exactly and sends
-   back only shingles that two documents hold. A shingle that is hot inside a block travels once, its document list
-   stays behind with the block, so no shingle gathers its documents in one place.
+   back only shingles that two documents hold. A shingle that is hot inside a block travels once; its document list
+   goes with the block's own columns by way of one range, another for each block, so nothing gathers in one place.
 2. *Prefix lists.* A set's shingles are ordered from rare to frequent. Two sets of the wanted similarity meet in a
    shingle of both prefixes, and only shared shingles are listed, with set size and position. A set whose prefix is
    all its own has no list at all.
@@ -72,7 +72,7 @@ _BLOCK_DDL = "range int, block long, hashes binary, owners binary, home struct<d
 
 
 def _blocks(n_ranges: int, width: int):
-    """Documents to blocks: for each range the block's shingles, sorted; with range 0 what stays home."""
+    """Documents to blocks: for each range the block's shingles, sorted; with one of them, in turn, what stays home."""
     edges = (np.arange(1, n_ranges, dtype=np.float64) * (2.0**48 / n_ranges)).astype(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +111,13 @@ def _blocks(n_ranges: int, width: int):
                 weight[code == 0] = hot_weight
                 cuts = np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])
                 rows = []
-                for r in [0, *np.flatnonzero(np.diff(cuts)[1:]) + 1]:
+                home_range = (task * 0x9E3779B1 + made) % n_ranges
+                for r in np.union1d(np.flatnonzero(np.diff(cuts)), [home_range]).astype(int):
                     a, b = cuts[r], cuts[r + 1]
                     steps = np.diff(short[a:b], prepend=np.uint64(0))
                     # a hot entry says 0 and then how many documents it stands for
                     owners = np.concatenate([code[a:b], weight[a:b][code[a:b] == 0]]).astype("<u2")
-                    rows.append((int(r), (task << 32) + made, _planes(steps, 6), owners.tobytes(), None if r else home))
+                    rows.append((int(r), (task << 32) + made, _planes(steps, 6), owners.tobytes(), home if r == home_range else None))
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _BLOCK, strict=True)], [n for n, _ in _BLOCK])
 
