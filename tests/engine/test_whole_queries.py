@@ -42,3 +42,10 @@ def test_datetime_nulls_are_ranked_at_both_ends(spark, sf, tmp_path, monkeypatch
     assert len(got) == 2 * n and sorted(down.values()) == sorted(up.values()) == list(range(1, n + 1))
     empty = [i for i in down if i % 7 == 0]
     assert max(down[i] for i in empty) == len(empty) and min(up[i] for i in empty) == n - len(empty) + 1
+
+
+def test_inference_keeps_keys_that_are_written_like_truth_values(spark, sf):
+    rows = QUERIES["infer_every_row"](spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").select(*rows.columns)
+    assert orders.where("o_orderkey <= 1").count() > 0
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, orders.collect()))

@@ -676,6 +676,14 @@ def infer_all_rows(spark, sf_dir):
     return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate")).where("o_orderkey > 1")
 
 
+@add("infer_every_row", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
+def infer_every_row(spark, sf_dir):
+    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
+    text = _as_text(df)
+    back = inference.typed(text, inference.infer(text), lenient=True)
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate"))
+
+
 @add("coerce_strict_rules", "SELECT CAST(NULL AS DOUBLE) AS as_is, v::DOUBLE AS lenient FROM (VALUES (0), (1), (1700000000)) t(v) UNION ALL SELECT 42, 42 UNION ALL SELECT NULL, NULL UNION ALL SELECT NULL, NULL")
 def coerce_strict_rules(spark, sf_dir):
     from tidemark.plans.nodes import Kind
