@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.learn import labelled_sample
+from tidemark.llm.learn import fitted, labelled_rows
 from tidemark.llm.textscan import NOT_ALNUM, Slice, slices, words
 
 #: Labelled documents of each grade that the model is fitted on, and the longest of them.
@@ -83,21 +83,40 @@ def score_slice(part: Slice, weights: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def _design(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The same features as triples (row, column, value)."""
-    rows, cols, values = [], [], []
+    """The same features, sorted by row: how many of each row, their columns and values."""
+    sizes, cols, values = [], [], []
     for part in slices(pa.array(texts, pa.string())):
         bins, _ = _bins(part)
         for d in range(len(part)):
             data = part.data[part.offsets[d] : part.offsets[d + 1]]
-            if len(data) >= 3:
-                kind, count = np.unique(_trigrams(data), return_counts=True)
-                rows.append(np.full(len(kind), part.first + d))
-                cols.append(kind)
-                values.append(count / count.sum() * _SCALE)
-            rows.append(np.full(3, part.first + d))
-            cols.append(bins[d])
-            values.append(np.ones(3))
-    return tuple(np.concatenate(x) for x in (rows, cols, values))
+            kind, count = np.unique(_trigrams(data), return_counts=True) if len(data) >= 3 else (np.zeros(0, np.int64), np.zeros(0))
+            sizes.append(len(kind) + 3)
+            cols += [kind.astype(np.int32), bins[d].astype(np.int32)]
+            values += [(count / max(count.sum(), 1) * _SCALE).astype(np.float32), np.ones(3, np.float32)]
+    return np.array(sizes), np.concatenate(cols), np.concatenate(values)
+
+
+def gradient(theta: np.ndarray, design: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, k: int, decay: float) -> tuple[float, np.ndarray]:
+    """Mean negative log likelihood with its penalty, and its gradient, at (weights, first cut, logs of the gaps)."""
+    sizes, cols, values = design
+    n, width = len(y), _HASHED + _BINNED
+    weights, steps = theta[:width], theta[width:]
+    cuts = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
+    score = np.add.reduceat(values * weights[cols], np.cumsum(sizes) - sizes)
+    # P(y) is the difference of two neighbouring tails
+    tail = 1 / (1 + np.exp(-(score[:, None] - cuts)))
+    full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
+    slope = np.concatenate([np.zeros((n, 1)), tail * (1 - tail), np.zeros((n, 1))], 1)
+    i = np.arange(n)
+    prob = np.maximum(full[i, y] - full[i, y + 1], 1e-12)
+    d_score = -(slope[i, y] - slope[i, y + 1]) / prob / n
+    d_cuts = np.zeros(k + 2)
+    np.add.at(d_cuts, y, slope[i, y] / prob / n)
+    np.add.at(d_cuts, y + 1, -slope[i, y + 1] / prob / n)
+    d_steps = np.cumsum(d_cuts[1:-1][::-1])[::-1].copy()
+    d_steps[1:] *= np.exp(steps[1:])
+    g = np.bincount(cols, np.repeat(d_score, sizes) * values, minlength=width) + decay * weights
+    return float(-np.log(prob).mean() + decay / 2 * weights @ weights), np.concatenate([g, d_steps])
 
 
 def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.3, decay: float = 1e-4) -> OrdinalModel:
@@ -108,31 +127,14 @@ def fit(sample: list[tuple[str, int]], rounds: int = 120, rate: float = 0.3, dec
     if len(grades) < 2:
         return OrdinalModel(weights, np.zeros(0), grades)
     y = np.searchsorted(grades, [g for _, g in sample])
-    rows, cols, values = _design([t for t, _ in sample])
-    n, k = len(y), len(grades) - 1
+    design = _design([t for t, _ in sample])
+    k = len(grades) - 1
     above = np.array([(y > j).mean() for j in range(k)]).clip(1e-3, 1 - 1e-3)
     start = -np.log(above / (1 - above))
-    steps = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    theta = np.concatenate([weights, steps])
+    theta = np.concatenate([weights, start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for it in range(1, rounds + 1):
-        weights, steps = theta[: _HASHED + _BINNED], theta[_HASHED + _BINNED :]
-        cuts = np.cumsum(np.concatenate([steps[:1], np.exp(steps[1:])]))
-        score = np.bincount(rows, values * weights[cols], minlength=n)
-        # P(y) is the difference of two neighbouring tails
-        tail = 1 / (1 + np.exp(-(score[:, None] - cuts)))
-        full = np.concatenate([np.ones((n, 1)), tail, np.zeros((n, 1))], 1)
-        slope = np.concatenate([np.zeros((n, 1)), tail * (1 - tail), np.zeros((n, 1))], 1)
-        i = np.arange(n)
-        prob = np.maximum(full[i, y] - full[i, y + 1], 1e-12)
-        d_score = -(slope[i, y] - slope[i, y + 1]) / prob / n
-        d_cuts = np.zeros(k + 2)
-        np.add.at(d_cuts, y, slope[i, y] / prob / n)
-        np.add.at(d_cuts, y + 1, -slope[i, y + 1] / prob / n)
-        d_cuts = d_cuts[1:-1]
-        d_steps = np.cumsum(d_cuts[::-1])[::-1].copy()
-        d_steps[1:] *= np.exp(steps[1:])
-        g = np.concatenate([np.bincount(cols, d_score[rows] * values, minlength=len(weights)) + decay * weights, d_steps])
+        _, g = gradient(theta, design, y, k, decay)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta = theta - rate * (m / (1 - 0.9**it)) / (np.sqrt(v / (1 - 0.99**it)) + 1e-8)
     weights, steps = theta[: _HASHED + _BINNED], theta[_HASHED + _BINNED :]
@@ -181,4 +183,5 @@ def graded_ratings(labels: DataFrame) -> DataFrame:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "rating", per_grade: int = SAMPLE_PER_GRADE, max_chars: int = SAMPLE_CHARS) -> OrdinalModel:
-    return fit(labelled_sample(docs, labels, label, per_grade, max_chars))
+    """The model, fitted in one task of the cluster on a bounded sample."""
+    return fitted(labelled_rows(docs, labels, label, per_grade, max_chars), fit)

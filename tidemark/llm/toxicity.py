@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.learn import labelled_sample
+from tidemark.llm.learn import fitted, labelled_rows
 from tidemark.llm.textscan import NOT_ALNUM, Slice, slices, words
 
 #: Labelled documents that the field is fitted on, by label, and the longest of them.
@@ -221,7 +221,8 @@ def _calibrate(model: ToxicModel, z: np.ndarray, toxic: np.ndarray, rounds: int
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, label: str = "toxic", learnable: Column | None = None, per_kind: dict[int, int] | int = SAMPLE_PER_KIND, max_chars: int = SAMPLE_CHARS) -> ToxicModel:
-    return fit(labelled_sample(docs, labels, label, per_kind, max_chars, learnable))
+    """The model, fitted in one task of the cluster on a bounded sample."""
+    return fitted(labelled_rows(docs, labels, label, per_kind, max_chars, learnable), fit)
 
 
 def _spans(part: Slice, starts, ends, bounds, p, d: int) -> list[dict]:
