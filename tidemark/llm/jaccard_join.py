@@ -38,11 +38,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.components import components
-from tidemark.llm.storage import persist
-from tidemark.llm.textscan import WHITESPACE, mix, shingles, slices, words
+from tidemark.llm.storage import drop, persist
+from tidemark.llm.textscan import SLICE_BYTES, WHITESPACE, mix, shingles, slices, words
 
 #: Shingle entries that one range of hashes should hold; sets how many ranges there are.
-RANGE_ENTRIES = 2_000_000
+RANGE_ENTRIES = 1_000_000
+#: Bytes of text of a block: as many for each range, between the bounds, so that a block's share of a range stays worth a row.
+BLOCK_BYTES_PER_RANGE, MOST_BLOCK_BYTES = 8_000, 4 * SLICE_BYTES
 #: From so many documents in a block on, a shingle's document list stays with the block.
 HOT = 16
 _BITS = np.uint64(48)
@@ -73,12 +75,15 @@ _BLOCK_DDL = "range int, block long, hashes binary, owners binary, home struct<d
 
 def _blocks(n_ranges: int, width: int):
     """Documents to blocks: for each range the block's shingles, sorted; with one of them, in turn, what stays home."""
-    edges = (np.arange(1, n_ranges, dtype=np.float64) * (2.0**48 / n_ranges)).astype(np.uint64)
+    block_bytes = min(max(SLICE_BYTES, n_ranges * BLOCK_BYTES_PER_RANGE), MOST_BLOCK_BYTES)
+
+    def range_of(short: np.ndarray) -> np.ndarray:
+        return np.minimum((short.astype(np.float64) * (n_ranges / 2.0**48)).astype(np.int64), n_ranges - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, made = TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part in slices(batch.column(1), most=1 << 15):
+            for part in slices(batch.column(1), block_bytes, most=1 << 15):
                 ids = batch.column(0).slice(part.first, len(part))
                 full, owner = shingles(words(part.lowered(), WHITESPACE), width)
                 order = np.lexsort((full, owner))
@@ -109,15 +114,15 @@ def _blocks(n_ranges: int, width: int):
                 short, code = short[keep], code[keep]
                 weight = np.zeros(len(short), np.int64)
                 weight[code == 0] = hot_weight
-                cuts = np.concatenate([[0], np.searchsorted(short, edges), [len(short)]])
-                rows = []
+                places = range_of(short)
                 home_range = (task * 0x9E3779B1 + made) % n_ranges
-                for r in np.union1d(np.flatnonzero(np.diff(cuts)), [home_range]).astype(int):
-                    a, b = cuts[r], cuts[r + 1]
+                rows = []
+                for r in np.union1d(places, [home_range]).tolist():
+                    a, b = np.searchsorted(places, [r, r + 1])
                     steps = np.diff(short[a:b], prepend=np.uint64(0))
                     # a hot entry says 0 and then how many documents it stands for
                     owners = np.concatenate([code[a:b], weight[a:b][code[a:b] == 0]]).astype("<u2")
-                    rows.append((int(r), (task << 32) + made, _planes(steps, 6), owners.tobytes(), home if r == home_range else None))
+                    rows.append((r, (task << 32) + made, _planes(steps, 6), owners.tobytes(), home if r == home_range else None))
                 made += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True), _BLOCK, strict=True)], [n for n, _ in _BLOCK])
 
@@ -297,41 +302,47 @@ def link_components(docs: DataFrame, threshold: Fraction = Fraction(3, 4), width
     shingles have Jaccard similarity ``threshold`` or more.
     """
     every = persist(document_sets(docs, threshold, width), "sets")
-    sets_of = every.where("n > 0 AND doc_id IS NOT NULL")
-    # written, so that the join below has two plain exchanges and a set with very many copies can be split
-    named = persist(sets_of.groupBy("s1", "s2").agg(F.min("doc_id").alias("node")), "named")
-    copies = sets_of.join(named, ["s1", "s2"]).where("doc_id != node").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct()
-    listed = sets_of.where("shared IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("shared").alias("shared"))
-    sets = persist(listed.drop("s1", "s2"), "listed")
+    # One row for each different set, which its copies share; the set's node is the least document that has it.
+    named = persist(every.where("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("own").alias("own"), F.first("shared").alias("shared")), "named")
+    # A document of several rows whose sets differ ties them together. Usually there is none.
+    several = every.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("s1", "s2")).alias("lo"), F.max(F.struct("s1", "s2")).alias("hi")).where("lo != hi").select("doc_id")
+    several = persist(every.join(several, "doc_id").select("doc_id", "s1", "s2").join(named.select("s1", "s2", "node"), ["s1", "s2"]).select("doc_id", "node").distinct(), "several")
+    sets = named.where("shared IS NOT NULL").select("node", "n", "own", "shared")
     entries = persist(sets.mapInArrow(_list_entries(threshold), "token long, node long, n long, own long, pos long"), "entries")
 
     # Sizes fall in bands so wide that similar sets are in one band or in neighbours. A list is a shingle and a band: the
     # sets of the band that have the shingle, one of them leading, and with them the sets of the band below.
     band = F.floor(F.log(F.col("n").cast("double")) / math.log(1 / threshold) + 1e-9).cast("int")
-    entries = entries.withColumn("below", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("below").cast("int"))
-    leaders = entries.groupBy("token", "band").agg(F.min(F.when(~F.col("below"), F.struct("pos", "own", "n", "node"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1 AND l IS NOT NULL")
+    cells = entries.withColumn("below", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("band", band + F.col("below").cast("int"))
+    leaders = cells.groupBy("token", "band").agg(F.min(F.when(~F.col("below"), F.struct("pos", "own", "n", "node"))).alias("l"), F.count(F.lit(1)).alias("c")).where("c > 1 AND l IS NOT NULL")
     leaders = persist(leaders.select("token", "band", F.col("l.node").alias("node"), F.col("l.n").alias("n"), F.col("l.own").alias("own"), F.col("l.pos").alias("pos")), "leaders")
     same_list = (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))
-    star = entries.alias("x").join(leaders.alias("y"), same_list & (F.col("x.node") != F.col("y.node")) & _enough(threshold, "x", "y"))
+    star = cells.alias("x").join(leaders.alias("y"), same_list & (F.col("x.node") != F.col("y.node")) & _enough(threshold, "x", "y"))
     star = star.select(F.col("y.node").alias("a"), F.col("x.node").alias("b")).distinct()
     seen = persist(_verify(star, sets, threshold), "seen")
-    found = persist(components(seen.where("similar").select("a", "b").union(copies)), "found")
+    found = components(seen.where("similar").select("a", "b").union(several))
 
     # What the leader's answers do not cover: entries of lists that reach over more than one component.
-    entries = entries.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    cells = cells.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lead = leaders.select("token", "band", F.col("node").alias("lead")).join(found.withColumnRenamed("node", "lead"), "lead", "left").select("token", "band", "lead", F.coalesce("component", "lead").alias("lead_component"))
-    mixed = entries.groupBy("token", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least")).where("c0 < c1").select("token", "band", "least")
+    mixed = cells.groupBy("token", "band").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("n").alias("least")).where("c0 < c1").select("token", "band", "least")
     from_lead = seen.select(F.col("a").alias("lead"), F.col("b").alias("node"), "held", "rest", "hidden")
     # an entry that leaves too little even for the smallest set of its list meets nobody
     p, q = threshold.numerator, threshold.denominator
-    entries = entries.join(mixed, ["token", "band"]).where(f"{p + q} * (n - pos) >= {p} * (n + least)").drop("least")
-    open_lists = entries.join(lead, ["token", "band"]).where("node != lead").join(from_lead, ["lead", "node"], "left")
-    open_lists = persist(open_lists, "open")
+    cells = cells.join(mixed, ["token", "band"]).where(f"{p + q} * (n - pos) >= {p} * (n + least)").drop("least")
+    open_lists = persist(cells.join(lead, ["token", "band"]).where("node != lead").join(from_lead, ["lead", "node"], "left"), "open")
     outside = open_lists.where("component != lead_component")
     apart = (F.col("x.component") != F.col("y.component")) & ~(F.col("x.below") & F.col("y.below"))
     rest = outside.alias("x").join(open_lists.alias("y"), same_list & apart & _enough(threshold, "x", "y") & _derived(threshold, "x", "y"))
     rest = rest.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
     more = persist(_verify(rest, sets, threshold).where("similar").select("a", "b"), "more")
     joined = components(found.where("node != component").union(more)) if more.head(1) else found
-
-    return every.join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    drop(entries, leaders, seen, open_lists, more, *([] if joined is found else [found]))
+
+    of_set = named.select("s1", "s2", "node").join(joined, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("of_set"))
+    of_doc = several.select("doc_id", "node").union(several.select("doc_id", "doc_id")).join(joined, "node").groupBy("doc_id").agg(F.min("component").alias("of_doc"))
+    # named is written, so the join has two plain exchanges and a set with very many copies can be split
+    of_set = persist(of_set, "components")
+    drop(named)
+    out = every.join(of_set, ["s1", "s2"], "left").join(of_doc, "doc_id", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("of_doc", "of_set", "doc_id")).alias("component_id"))

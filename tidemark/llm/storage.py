@@ -42,8 +42,16 @@ def _clean() -> None:
 
 
 def drop_table(df_path: str, spark: SparkSession) -> None:
-    """Delete a table made by :func:`persist` that no later read needs."""
+    """Delete a table made by :func:`persist_path` that no later read needs."""
     _remove(spark, df_path)
+    if (spark, df_path) in _made:
+        _made.remove((spark, df_path))
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`persist`, once nothing reads them any more."""
+    for df in tables:
+        drop_table(df._tidemark_path, df.sparkSession)
 
 
 def persist_path(df: DataFrame, name: str, rebalance: bool = True) -> str:
@@ -63,4 +71,6 @@ def persist_path(df: DataFrame, name: str, rebalance: bool = True) -> str:
 def persist(df: DataFrame, name: str, rebalance: bool = True) -> DataFrame:
     """:func:`persist_path`, read back."""
     path = persist_path(df, name, rebalance)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._tidemark_path = path
+    return out
