@@ -5,17 +5,23 @@ replaced by its image under a keyed permutation of its own domain, written in th
 equal values to equal pseudonyms in every document, distinct ones to distinct ones, and whoever holds the key can undo it:
 
 * card numbers: the digits before the check digit, which is then made anew, so the image passes Luhn too
-* IBANs: the digits of the account part, with new check digits
+* IBANs: every place of the account part in its own alphabet, 0-9 or A-Z, with new check digits
 * phone numbers: the digits after the country code; separators stay
 * social security numbers (ddd-dd-dddd): within the valid areas, groups and serials
 * IPv4 addresses: within all 2**32; calendar dates: within 1900-01-01 .. 2099-12-31
 
 Mail addresses keep their domain; their local part, whose domain has no fixed size, becomes a keyed hash, as do
-credentials, which keep length and prefix. A balanced or unbalanced Feistel network runs on two halves (or on a
-mixed-radix pair), its round function is SHA-256 of key, kind, round and the other half, so it is fixed everywhere.
-
-Defined results: null texts stay null and count no hits; texts in which nothing matches pass through untouched; numbers that fail
-validation stay; repeated rows are treated alike; columns beside doc_id and text are ignored.
+credentials, which keep length and prefix. A balanced or unbalanced Feistel network runs on two halves (on a mixed-radix
+pair, or on halves of characters), its round function is SHA-256 of key, kind, round and the other half, so it is fixed
+everywhere.
+
+Defined results: null texts stay null and count no hits, empty ones stay empty; texts in which nothing matches pass
+through untouched; numbers that fail validation stay, and so does the rare value that the permutation maps to itself,
+which is not counted. Texts are searched whole, however long, in time linear in their length: every pattern starts only
+at a border of its own characters and is bounded or possessive from there. Mail domains have at most 127 labels of at
+most 63 characters; what is longer is no address. Where patterns tie, the leftmost match counts and then the first
+kind. Repeated rows are treated alike; no rows give no rows; columns beside doc_id and text, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +33,9 @@ from tidemark.llm.exprs import let
 
 ROUNDS = 10
 
-_MAIL = r"[\p{L}\p{N}._%+\-]+@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*\.[A-Za-z]{2,}"
+_LABEL = r"[A-Za-z0-9][A-Za-z0-9\-]{0,62}+(?<!-)\."
+#: A run of the characters of a local part is entered at its beginning only, and taken whole.
+_MAIL = r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@(?:" + _LABEL + r"){1,126}[A-Za-z]{2,63}"
 _SECRET = r"(?<![0-9A-Za-z])(?:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{30,}|sk-[0-9A-Za-z]{16,}|[0-9A-Fa-f]{32,})(?![0-9A-Za-z])"
 _CREDENTIAL = r'(?<![0-9A-Za-z])(?i:password|passwd|pwd|secret|api[_-]?key|token) ?[=:] ?"?[0-9A-Za-z_\-]{8,}'
 _IBAN = r"(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![0-9A-Za-z])"
@@ -86,13 +94,41 @@ def feistel_digits(key: str, kind: str, digits: Column) -> Column:
     return let(out, lambda p: F.concat(F.lpad(p["l"].cast("string"), m, "0"), F.when(n > m, F.lpad(p["r"].cast("string"), n - m, "0")).otherwise("")))
 
 
-def refill(shape: Column, digits: Column) -> Column:
-    """``shape`` with its digits replaced, in order, by ``digits``."""
+def feistel_places(key: str, kind: str, text: Column) -> Column:
+    """A keyed permutation of strings of 0-9 and A-Z (up to 32 of them) among those with digits and letters in the same places.
+
+    The halves take turns: each of its places moves on, in its own alphabet, by 16 bits of a hash of the other half.
+    """
+    n = F.char_length(text)
+    m = F.ceil(n / 2).cast("int")
+    shape = F.regexp_replace(F.regexp_replace(text, "[0-9]", "9"), "[A-Z]", "A")
+
+    def moved(half: Column, i: Column, other: Column) -> Column:
+        def place(word: Column) -> Column:
+            def one(ch: Column, k: Column) -> Column:
+                by, v = F.conv(F.substr(word, 4 * k + 1, F.lit(4)), 16, 10).cast("int"), F.ascii(ch)
+                return F.char(F.when(v >= 65, 65 + (v - 65 + by) % 26).otherwise(48 + (v - 48 + by) % 10))
+
+            return F.array_join(F.transform(F.filter(F.split(half, ""), lambda ch: ch != ""), one), "")
+
+        return let(_keyed(key, kind, shape, i, other), place)
+
+    def turn(acc: Column, i: Column) -> Column:
+        one = F.struct(moved(acc["l"], i, acc["r"]).alias("l"), acc["r"].alias("r"))
+        two = F.struct(acc["l"].alias("l"), moved(acc["r"], i, acc["l"]).alias("r"))
+        return F.when(i % 2 == 0, one).otherwise(two)
+
+    zero = F.struct(F.substr(text, F.lit(1), m).alias("l"), F.substr(text, m + 1, n - m).alias("r"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), zero, turn, lambda p: F.concat(p["l"], p["r"]))
+
+
+def refill(shape: Column, chars: Column, slot: str = "^[0-9]$") -> Column:
+    """``shape`` with its digits, or what else ``slot`` matches, replaced, in order, by ``chars``."""
     zero = F.struct(F.lit("").alias("s"), F.lit(1).alias("i"))
 
     def step(acc: Column, ch: Column) -> Column:
-        digit = ch.rlike("^[0-9]$")
-        return F.struct(F.concat(acc["s"], F.when(digit, F.substr(digits, acc["i"], F.lit(1))).otherwise(ch)).alias("s"), (acc["i"] + F.when(digit, 1).otherwise(0)).alias("i"))
+        open_ = ch.rlike(slot)
+        return F.struct(F.concat(acc["s"], F.when(open_, F.substr(chars, acc["i"], F.lit(1))).otherwise(ch)).alias("s"), (acc["i"] + F.when(open_, 1).otherwise(0)).alias("i"))
 
     return F.aggregate(F.split(shape, ""), zero, step, lambda acc: acc["s"])
 
@@ -135,9 +171,9 @@ def _iban(key: str, x: Column) -> Column:
 
         def image(new: Column) -> Column:
             check = F.lpad((98 - _mod97(F.concat(new, country, F.lit("00")))).cast("string"), 2, "0")
-            return refill(x, F.concat(check, _only_digits(new)))
+            return refill(x, F.concat(country, check, new), "^[0-9A-Z]$")
 
-        return F.when(ok, let(let(_only_digits(account), lambda d: refill(account, feistel_digits(key, "iban", d))), image))
+        return F.when(ok, let(feistel_places(key, "iban", account), image))
 
     return let(F.replace(x, F.lit(" "), F.lit("")), valid)
 
@@ -235,7 +271,8 @@ def hide(text: Column, key: str) -> Column:
     def woven(v: Column) -> Column:
         shown = F.zip_with(v["was"], v["now"], lambda a, b: F.coalesce(b, a))
         whole = F.array_join(F.zip_with(between, shown, lambda a, b: F.concat(a, F.coalesce(b, F.lit("")))), "")
-        return F.struct(whole.alias("text"), F.size(F.filter(v["now"], lambda x: x.isNotNull())).alias("found"))
+        changed = F.zip_with(v["was"], v["now"], lambda a, b: F.coalesce(a != b, F.lit(False)))
+        return F.struct(whole.alias("text"), F.size(F.filter(changed, lambda x: x)).alias("found"))
 
     plain = F.struct(text.alias("text"), F.lit(0).alias("found"))
     return F.when(text.rlike(_GATE), let(images, woven)).otherwise(plain)
