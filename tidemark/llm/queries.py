@@ -97,23 +97,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 
 def _url_sql() -> str:
-    def found(term: str) -> str:
-        return f"regexp_matches(u, '(^|[^a-z0-9]){term}([^a-z0-9]|$)')"
-
-    strict = " OR ".join(map(found, url_filter.STRICT))
-    soft = " + ".join(f"(CASE WHEN {found(t)} THEN {w} ELSE 0 END)" for t, w in url_filter.SOFT.items())
+    """Terms without a sign in them stand between borders just where they are a run of letters and digits of the URL."""
+    strict, soft = set(URL_POLICY.strict), URL_POLICY.soft
+    terms = ", ".join([*(f"('{t}', true, 0.0)" for t in sorted(strict)), *(f"('{t}', false, {w})" for t, w in sorted(soft.items()) if t not in strict)])
     rules = ", ".join(f"('{r.host}', '{r.path}', {str(r.allow).lower()})" for r in URL_POLICY.rules)
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-    WITH r(rh, rp, ok) AS (VALUES {rules}),
+    WITH r(rh, rp, ok) AS (VALUES {rules}), v(term, strict, weight) AS (VALUES {terms}),
     p AS (SELECT page_id, coalesce(url, '') AS url, CASE WHEN contains(coalesce(url, ''), '://') THEN regexp_extract(substr(url, strpos(url, '://') + 3), '^[^?#]*') ELSE '' END AS rest FROM pages),
     q AS (SELECT page_id, {lower.format("url")} AS u, {lower.format("regexp_extract(rest, '^[^/]*')")} AS host, substr(rest, length(regexp_extract(rest, '^[^/]*')) + 1) AS path FROM p),
     m AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(ok, length(rh || rp)) AS ok
-          FROM q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
-    SELECT q.page_id, host, path, rule,
-           CASE WHEN rule IS NOT NULL THEN CASE WHEN ok THEN 'allow' ELSE 'block' END
-                WHEN {strict} OR ({soft}) >= {URL_POLICY.soft_threshold} THEN 'block' ELSE 'allow' END AS verdict
-    FROM q LEFT JOIN m ON q.page_id = m.page_id
+          FROM q JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id),
+    w AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(u, '[a-z0-9]+')) AS term FROM q),
+    h AS (SELECT page_id, bool_or(strict) OR (count(*) >= {URL_POLICY.min_soft} AND sum(weight) >= {URL_POLICY.soft_threshold}) AS bad FROM w JOIN v USING (term) GROUP BY page_id)
+    SELECT q.page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN CASE WHEN ok THEN 'allow' ELSE 'block' END WHEN coalesce(bad, false) THEN 'block' ELSE 'allow' END AS verdict
+    FROM q LEFT JOIN m ON q.page_id = m.page_id LEFT JOIN h ON q.page_id = h.page_id
     """
 
 

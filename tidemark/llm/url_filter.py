@@ -1,12 +1,17 @@
 """URL filter: host/path rules, then a weighted vocabulary matched by an Aho-Corasick automaton.
 
 A URL is lower-cased (A-Z) and scanned once by the automaton; a hit counts only where neither neighbour is an ASCII
-letter or digit. One strict term rejects, and so do soft terms whose distinct weights add up to the threshold.
-Explicit rules are stronger: the longest rule that fits decides, and the vocabulary judges the rest.
+letter or digit. One strict term rejects, and so do at least ``min_soft`` distinct soft terms whose weights add up to
+the threshold. Explicit rules are stronger: the longest rule that fits decides, and the vocabulary judges the rest.
+
+The vocabulary is a parameter: :func:`load_vocabulary` reads one from a table of terms, and :func:`forms` makes the
+default one, some thousand terms with weights between 0.25 and 1.5, from stems.
 
 Defined results: a null URL, an empty URL or one without ``://`` has empty host and path, fits no rule, and is judged
-by the vocabulary alone (null: nothing to find, so ``allow``). Repeated rows are judged one by one; other columns of
-the input are kept out of the way.
+by the vocabulary alone (null: nothing to find, so ``allow``). URLs of any length are scanned whole. Of rules that tie
+in length the one with the longer host counts, then the blocking one; a term that is both strict and soft is strict.
+Repeated rows are judged one by one; an empty table gives no rows; other columns of the input, whatever their names, are
+kept out of the way.
 """
 
 from __future__ import annotations
@@ -22,8 +27,36 @@ from pyspark.sql import functions as F
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _WORD = frozenset("abcdefghijklmnopqrstuvwxyz0123456789")
 
-STRICT = ("porn", "xxx", "casino", "warez", "adult", "escort", "viagra", "malware", "phishing", "spam")
-SOFT = {"free": 1.0, "bets": 1.0, "bet": 1.0, "cheap": 1.0, "pills": 1.0, "win": 1.0, "ads": 1.0, "track": 1.0, "farm": 1.0, "poker": 1.0, "loan": 1.0, "dating": 1.0, "deal": 1.0, "click": 1.0, "bonus": 1.0, "seo": 1.0}
+#: Terms of a vocabulary at most; it is held by the driver and every task.
+MOST_TERMS = 1_000_000
+
+# The stems of the default vocabulary, the weights of soft ones, and what may follow a stem.
+STRICT_STEMS = ("porn", "xxx", "casino", "warez", "adult", "escort", "viagra", "malware", "phishing", "spam")
+SOFT_STEMS = {"free": 0.75, "bets": 1.25, "bet": 1.25, "cheap": 0.75, "pills": 1.5, "win": 1.0, "ads": 1.25, "track": 0.75, "farm": 0.75, "poker": 1.5, "loan": 1.25, "dating": 1.25, "deal": 0.75, "click": 0.75, "bonus": 1.0, "seo": 1.0}
+ENDINGS = ("", "s", "hub", "zone", "club", "site", "online", "world", "shop", "store", "24", "4u")
+
+
+def forms(stem: str) -> dict[str, float]:
+    """A stem with each ending, and with the numbers 0 to 99, which count half."""
+    return {stem + e: 1.0 for e in ENDINGS} | {f"{stem}{k}": 0.5 for k in range(100) if str(k) not in ENDINGS}
+
+
+STRICT = tuple(dict.fromkeys(stem + e for stem in STRICT_STEMS for e in ENDINGS))
+SOFT: dict[str, float] = {}
+for _stem, _weight in SOFT_STEMS.items():
+    for _term, _share in forms(_stem).items():
+        SOFT[_term] = max(SOFT.get(_term, 0.0), _weight * _share)
+
+
+def load_vocabulary(terms: DataFrame, most: int = MOST_TERMS) -> tuple[tuple[str, ...], dict[str, float]]:
+    """(strict, soft) from a table with the columns ``term`` and ``weight``, such as a tab-separated file of them; no
+    weight is strict. Nulls and empty terms are passed over; of several weights of a term the largest counts, and strict
+    is stronger than any."""
+    rows = terms.where("term IS NOT NULL AND term != ''").groupBy(F.translate("term", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz").alias("term"))
+    rows = rows.agg(F.max(F.col("weight").cast("double")).alias("weight"), F.max(F.col("weight").isNull()).alias("strict")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} terms")
+    return tuple(sorted(r.term for r in rows if r.strict)), {r.term: r.weight for r in sorted(rows) if not r.strict}
 
 
 @dataclass(frozen=True)
@@ -53,9 +86,10 @@ class UrlPolicy:
     strict: tuple[str, ...] = STRICT
     soft: Mapping[str, float] = field(default_factory=lambda: dict(SOFT))
     soft_threshold: float = 2.0
+    min_soft: int = 2
 
     def key(self) -> tuple:
-        return self.rules, tuple(self.strict), tuple(sorted(self.soft.items())), self.soft_threshold
+        return self.rules, tuple(self.strict), tuple(sorted(self.soft.items())), self.soft_threshold, self.min_soft
 
 
 def split_url(url: str | None) -> tuple[str, str]:
@@ -72,13 +106,15 @@ class _Judge:
     def __init__(self, key: tuple):
         import ahocorasick
 
-        rules, strict, soft, self.threshold = key
+        rules, strict, soft, self.threshold, self.min_soft = key
+        strict = tuple(dict.fromkeys(t.translate(_UPPER) for t in strict))
+        known = set(strict)
         self.by_host: dict[str, list[UrlRule]] = {}
         for rule in sorted(rules, key=lambda r: (-len(r.text), -len(r.host), r.allow)):
             self.by_host.setdefault(rule.host, []).append(rule)
         self.machine = ahocorasick.Automaton()
-        for term, weight in [*((t, None) for t in strict), *((t, w) for t, w in soft if t not in strict)]:
-            self.machine.add_word(term.translate(_UPPER), (term, weight))
+        for term, weight in [*((t, None) for t in strict), *((t.translate(_UPPER), w) for t, w in soft if t.translate(_UPPER) not in known)]:
+            self.machine.add_word(term, (term, weight))
         if len(self.machine):
             self.machine.make_automaton()
 
@@ -107,7 +143,7 @@ class _Judge:
         host, path = split_url(url)
         rule = self.rule(host, path)
         strict, soft, weight = self.hits(url or "")
-        bad = bool(strict) or weight >= self.threshold
+        bad = bool(strict) or (len(soft) >= self.min_soft and weight >= self.threshold)
         return {
             "host": host, "path": path, "rule": rule.text if rule else None,
             "verdict": "allow" if (rule.allow if rule else not bad) else "block",
