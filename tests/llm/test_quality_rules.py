@@ -46,13 +46,32 @@ def test_verdict_does_not_depend_on_the_order(spark):
 
 
 def test_plan_orders_by_rejection_per_cost(spark):
-    rows = q.with_features(documents(spark, texts()))
+    docs = documents(spark, texts())
     never, always = q.Rule("never", F.lit(False)), q.Rule("always", F.lit(True))
-    plan = q.plan_cascade(rows, [never, always])
+    plan = q.plan_cascade(docs, [never, always])
     assert [r.name for r, _, _ in plan] == ["always", "never"]
     assert [share for *_, share in plan] == [1.0, 0.0]
 
 
+def test_a_costly_rule_stands_behind_a_cheap_one_that_rejects_as_much(spark):
+    docs = documents(spark, [f"{t} {i}" for i in range(40) for t in texts()])
+    costly = F.sha2(F.sha2(F.repeat(F.col("text"), 40), 512), 512) != ""
+    plan = q.plan_cascade(docs, [q.Rule("a_costly", costly), q.Rule("b_cheap", F.col("n_words") >= 0), q.Rule("c_rare", F.col("n_words") < 0)])
+    assert [r.name for r, _, _ in plan] == ["b_cheap", "a_costly", "c_rare"]
+    (_, cheap, one), (_, dear, same), _ = plan
+    assert one == same == 1.0 and dear > 3 * cheap
+
+
+def test_sample_of_a_table_of_many_files(spark, tmp_path, monkeypatch):
+    docs = documents(spark, texts())
+    docs.repartition(9).write.parquet(str(tmp_path / "docs"))
+    monkeypatch.setattr(q, "SAMPLE_FILES", 3)
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    assert 0 < q._some_files(stored.select("doc_id", "text")).count() < stored.count()
+    assert q._some_files(docs).count() == docs.count()
+    assert sorted(map(str, q.apply_rules(stored).drop("failed_rule").collect())) == sorted(map(str, q.apply_rules(docs).drop("failed_rule").collect()))
+
+
 def test_empty_table(spark):
     assert q.apply_rules(documents(spark, []), q.default_rules()).count() == 0
 
