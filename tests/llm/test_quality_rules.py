@@ -54,7 +54,7 @@ def test_plan_orders_by_rejection_per_cost(spark):
 
 
 def test_a_costly_rule_stands_behind_a_cheap_one_that_rejects_as_much(spark):
-    docs = documents(spark, [f"{t} {i}" for i in range(40) for t in texts()])
+    docs = documents(spark, [f"{t} {i}" for i in range(60) for t in texts()])
     costly = F.sha2(F.sha2(F.repeat(F.col("text"), 40), 512), 512) != ""
     plan = q.plan_cascade(docs, [q.Rule("a_costly", costly), q.Rule("b_cheap", F.col("n_words") >= 0), q.Rule("c_rare", F.col("n_words") < 0)])
     assert [r.name for r, _, _ in plan] == ["b_cheap", "a_costly", "c_rare"]
