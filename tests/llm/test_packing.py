@@ -74,3 +74,50 @@ def test_empty_table_and_repeated_rows(spark):
     twice = documents(spark, ["same text"]).union(documents(spark, ["same text"]))
     out = p.pack_documents(twice, str(tokenizer_path())).collect()
     assert len(out) == 2 and len({(r.sequence_id, r.offset) for r in out}) == 2
+
+
+def test_ids_are_those_of_tokenizers_on_the_corpus(spark):
+    """Every document of a table, against the tokenizers library itself."""
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    encode = Tokenizer.from_file(str(tokenizer_path()))
+    rows = docs.collect()
+    want = {}
+    for r, e in zip(rows, encode.encode_batch([r.text or "" for r in rows], add_special_tokens=False), strict=True):
+        ids = [*e.ids, 2]
+        first = (len(ids) - 1) % 1024 + 1
+        for k, (a, b) in enumerate(zip([0, *range(first, len(ids), 1024)], range(first, len(ids) + 1, 1024), strict=True)):
+            want[r.doc_id, k] = (a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes()))
+    got = {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in p.pack_documents(docs, str(tokenizer_path()), with_ids=False).collect()}
+    assert got == want
+
+
+def test_full_pieces_and_clashing_columns(spark):
+    kind = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int, rank int, count int"
+    rows = [(i, 0, 0, 1024 if i % 3 else 500 + i, i, 0, 0, 0) for i in range(60)]
+    out = p.pack_pieces(spark.createDataFrame(rows, kind).repartition(4)).collect()
+    assert sorted(tuple(r)[:8] for r in out) == rows
+    alone = [r for r in out if r.length == 1024]
+    assert len({r.sequence_id for r in alone}) == 40 == len(alone) and all(r.offset == 0 for r in alone)
+    assert not {r.sequence_id for r in alone} & {r.sequence_id for r in out if r.length < 1024}
+
+
+@pytest.mark.parametrize("change", [("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "Whitespace"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True}), ("pre_tokenizer", {"type": "ByteLevel", "use_regex": False}), ("added_tokens", [{"id": 9, "content": "x", "lstrip": True}]), ("merges", 1), ("byte_fallback", True)])
+def test_other_tokenizers_are_refused(change):
+    import copy
+    import json
+
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        spec = json.load(f)
+    p.refuse_other_forms(spec)
+    spec, (key, value) = copy.copy(spec), change
+    if key == "merges":
+        m = spec["model"]["merges"]
+        spec["model"] = spec["model"] | {"merges": [m[1], m[0], *m[2:]]}
+    elif key == "byte_fallback":
+        spec["model"] = spec["model"] | {key: value}
+    else:
+        spec[key] = value
+    with pytest.raises(ValueError):
+        p.refuse_other_forms(spec)

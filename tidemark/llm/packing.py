@@ -7,9 +7,12 @@ whatever the corpus size. A combination found is taken as many times as the coun
 search would do, since it stays the fullest one until a count runs out.
 
 The histogram is kept by (length, salt), so ranking the pieces of one length, however common, is shared by many tasks.
+Pieces as long as a sequence fill one each and need neither search nor rank.
 
-Defined results: a null text is an empty document, which is the end token alone; repeated rows are packed as pieces of
-their own; no documents give no rows.
+Defined results: a null or empty text is the end token alone; very long texts are tokenised whole and cut into pieces;
+repeated rows, rows with equal or null ids among them, are packed as pieces of their own; which of equally long pieces
+goes where is told by doc_id, piece and what else is known of them, and does not matter to the fill; no documents give
+no rows; columns beside doc_id and text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -41,12 +44,31 @@ def _encoder(path: str):
 
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
+    refuse_other_forms(spec)
     shown = _byte_alphabet()
     special = {t["content"]: t["id"] for t in spec["added_tokens"]}
     ranks = {bytes(shown[c] for c in token): rank for token, rank in spec["model"]["vocab"].items() if token not in special}
     return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def refuse_other_forms(spec: dict) -> None:
+    """ValueError unless ids come out as modelled here: plain byte-level BPE whose merges stand in the order of their ids."""
+    pre, model, added = spec.get("pre_tokenizer") or {}, spec["model"], spec.get("added_tokens") or []
+    wrong = [
+        ("a normalizer", spec.get("normalizer") is not None),
+        ("a model other than BPE", model.get("type", "BPE") != "BPE"),
+        ("dropout, byte fallback or affixes", any(model.get(k) for k in ("dropout", "byte_fallback", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges"))),
+        ("a pre-tokenizer other than byte-level with its own pattern", pre.get("type") != "ByteLevel" or not pre.get("use_regex", True)),
+        ("add_prefix_space", bool(pre.get("add_prefix_space"))),
+        ("added tokens that strip or want words", any(t.get(k) for t in added for k in ("lstrip", "rstrip", "single_word"))),
+    ]
+    names = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    ids = [model["vocab"].get(m.replace(" ", "", 1), -1) for m in names]
+    wrong.append(("merges whose order is not that of ids", any(b <= a for a, b in zip(ids, ids[1:], strict=False)) or -1 in ids))
+    if bad := [what for what, is_so in wrong if is_so]:
+        raise ValueError(f"this tokenizer file has {', '.join(bad)}")
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The published printable stand-ins of byte-level BPE: printable Latin-1 stands for itself, the rest follows U+0100."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -179,7 +201,8 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
     The pieces are written once to shared storage. To the driver go at most ``capacity * SALTS`` counts.
     """
     fixed = persist(pieces.withColumn("__tm_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = fixed.groupBy("length", "__tm_salt").count().collect()
+    rest = fixed.where(F.col("length") < capacity)
+    counts = rest.groupBy("length", "__tm_salt").count().collect()
     total: dict[int, int] = {}
     offsets: dict[int, np.ndarray] = {}
     for length, salt, n in sorted(tuple(r) for r in counts):
@@ -187,9 +210,13 @@ def pack_pieces(pieces: DataFrame, capacity: int = 1024) -> DataFrame:
         total[length] = total.get(length, 0) + n
     places = _places(minimum_bin_slack(total, capacity))
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in fixed.columns]
-    ranked = fixed.withColumn("__tm_rank", F.row_number().over(Window.partitionBy("length", "__tm_salt").orderBy(*order)))
+    ranked = rest.withColumn("__tm_rank", F.row_number().over(Window.partitionBy("length", "__tm_salt").orderBy(*order)))
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema]
-    return ranked.mapInArrow(_assign(places, offsets), ", ".join([*kept, "sequence_id long", "offset long"]))
+    packed = ranked.mapInArrow(_assign(places, offsets), ", ".join([*kept, "sequence_id long", "offset long"]))
+    # full pieces: a number below zero each, which no bin has
+    full = fixed.where(F.col("length") >= capacity).drop("__tm_salt")
+    full = full.withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return packed.unionByName(full)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = True) -> DataFrame:
