@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pytest
+
 from tidemark.llm import chat_format as f
 
 
@@ -49,3 +51,16 @@ def test_segments_and_mask(spark):
 
 def test_empty_table(spark):
     assert f.digest_chats(f.format_chats(rows_of(spark, []))).count() == 0
+
+
+def test_digests_want_segments_in_order(spark):
+    segs = f.format_chats(rows_of(spark, [(c, t, "user", "x") for c in range(4) for t in range(4)]))
+    for wrong in (segs.orderBy("segment").coalesce(1), segs.where("segment > 0"), segs.where("turn_index > 0")):
+        with pytest.raises(Exception, match="was due"):
+            f.digest_chats(wrong).collect()
+
+
+def test_clashing_columns(spark):
+    rows = [(1, 0, "user", "hi", 7, "a", True), (1, 1, "assistant", "yo", 7, "a", True)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, turn_index long, segment string, loss boolean")
+    assert f.digest_chats(f.format_chats(df)).collect() == f.digest_chats(f.format_chats(df.select("conv_id", "turn", "role", "text"))).collect()

@@ -6,9 +6,11 @@ backslash goes before every backslash and before the first character of every co
 it again. Turns of a conversation arrive sorted, so one pass holds one turn at a time whatever the conversation's size.
 
 Defined results: a null text is an empty one; a null role is the role ``""``; roles outside the template use its
-fallback entry, with the role's name escaped in the opening; turns with equal number are ordered by role and text;
-repeated rows are turns of their own; rows with null ids form one conversation. A conversation that breaks the turn
-order is formatted all the same and carries ``valid = false`` from the turn where it broke.
+fallback entry, with the role's name escaped in the opening; turns with equal number are ordered by role and text (null
+numbers come first); repeated rows are turns of their own; rows with null ids form one conversation; texts of any length
+are formatted whole; an empty table gives no rows; columns beside conv_id, turn, role and text, whatever their names, are
+ignored. A conversation that breaks the turn order is formatted all the same and carries ``valid = false`` from the turn
+where it broke.
 """
 
 from __future__ import annotations
@@ -150,7 +152,7 @@ def _digest(template: ChatTemplate):
         done: list[tuple] = []
 
         def fresh(cid):
-            return {"id": cid, "reader": TurnReader(template), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0, "valid": True}
+            return {"id": cid, "reader": TurnReader(template), "n": 0, "turns": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "all": 0, "valid": True, "next": (0, 0)}
 
         def finish(s):
             done.append((s["id"], s["n"], s["turns"].hexdigest(), s["chars"], s["loss"].hexdigest(), s["all"], s["valid"]))
@@ -161,12 +163,15 @@ def _digest(template: ChatTemplate):
             return out
 
         for batch in batches:
-            cols = [batch.column(n).to_pylist() for n in ("conv_id", "text", "loss", "valid")]
-            for cid, text, loss, valid in zip(*cols, strict=True):
+            cols = [batch.column(n).to_pylist() for n in ("conv_id", "turn_index", "segment", "text", "loss", "valid")]
+            for cid, turn, segment, text, loss, valid in zip(*cols, strict=True):
                 if state is None or cid != state["id"]:
                     if state is not None:
                         finish(state)
                     state = fresh(cid)
+                if (turn, segment) != state["next"]:
+                    raise ValueError(f"conversation {cid}: segment {(turn, segment)} where {state['next']} was due; digests need segments in order")
+                state["next"] = (turn, segment + 1) if segment < 2 else (turn + 1, 0)
                 state["all"] += len(text)
                 state["valid"] = valid
                 for role, body, masked in state["reader"].feed(text, loss):
@@ -188,5 +193,6 @@ def digest_chats(segments: DataFrame, template: ChatTemplate = TEMPLATE) -> Data
     """What a reader of the formatted text sees, one row for each conversation.
 
     ``segments`` must be the unshuffled output of :func:`format_chats`: each partition holds whole conversations in order.
+    Where it does not, the query fails, as digests are sequential.
     """
     return segments.mapInArrow(_digest(template), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean")
