@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+import zlib
+
+import xxhash
 
 EDGE_TEXTS = [None, "", " \t\n", "one", "two words", "a b c d", "a b c d e", "x" * 5000, "word " * 3000, "é à ü\nß ñ", "tail\n\n\n"]
 
@@ -48,3 +51,17 @@ def components(docs, threshold=(75, 100)):
                 r, s = sorted((root(a), root(b)))
                 parent[s] = r
     return {d: (len(sets[d]), root(d)) for d in sets}
+
+
+def drawn(texts, labels, most, learnable=lambda d: True, max_chars=50_000):
+    """(text, label) that a model is fitted on: of each label the ``most`` documents whose 64-bit hash of the id is least."""
+    hashed = lambda d: int.from_bytes(xxhash.xxh64_digest(int(d).to_bytes(8, "little"), 42), "big", signed=True)
+    out = []
+    for y in sorted(set(labels.values())):
+        ids = sorted((d for d, v in labels.items() if v == y and learnable(d)), key=lambda d: (hashed(d), d))[: most if isinstance(most, int) else most.get(y, 0)]
+        out += [(d, texts[d], y) for d in ids if texts.get(d) is not None and len(texts[d]) <= max_chars]
+    return [(t, y) for _, t, y in sorted(out)]
+
+
+def crc_fold(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5

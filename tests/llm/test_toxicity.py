@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import EDGE_TEXTS, documents
 from tidemark.llm import toxicity as t
@@ -76,3 +77,48 @@ def test_without_both_kinds(spark):
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
     assert all(r["__tm_score"] < 0.5 for r in t.tag_documents(docs, t.fit_on(docs, labels)).collect())
     assert all(r["__tm_score"] < 0.5 for r in t.tag_documents(docs, t.fit_on(docs, labels.limit(0))).collect())
+
+
+def plain_score(model, text):
+    """One document: features word by word, forward and backward sums over two states, then the calibrated score."""
+    part = next(slices(pa.array([text or ""])))
+    _, _, bounds, x = t.features(part)
+    p = []
+    if len(x):
+        u = [sum(float(model.emission[b]) for b in row) + model.bias for row in x]
+        e = [(1.0, float(np.exp(np.clip(v, -30, 30)))) for v in u]
+        move = np.exp(model.move)
+        f = [(e[0][0], e[0][1] * float(np.exp(model.start)))]
+        for k in range(1, len(e)):
+            now = [e[k][s] * sum(f[-1][r] * move[r, s] for r in (0, 1)) for s in (0, 1)]
+            f.append((now[0] / sum(now), now[1] / sum(now)))
+        b = [(1.0, 1.0)]
+        for k in range(len(e) - 2, -1, -1):
+            now = [sum(move[s, r] * e[k + 1][r] * b[0][r] for r in (0, 1)) for s in (0, 1)]
+            b.insert(0, (now[0] / sum(now), now[1] / sum(now)))
+        p = [f[k][1] * b[k][1] / (f[k][0] * b[k][0] + f[k][1] * b[k][1]) for k in range(len(e))]
+    top = min(max(max(p, default=0.0), 1e-9), 1 - 1e-9)
+    z = model.scale[0] * np.log(top / (1 - top)) + model.scale[1] * np.log1p(sum(v for v in p if v >= 0.1)) + model.shift
+    return 1 / (1 + np.exp(-z))
+
+
+def test_query_against_a_plain_version(spark, sf):
+    """The whole query: folds, the sample that the field learns from, and every document's score."""
+    from tests.llm.helpers import crc_fold, drawn
+    from tidemark.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    model = t.fit(drawn(texts, labels, t.SAMPLE_PER_KIND, lambda d: crc_fold(d) != 0))
+    rows = queries.op7_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert r.held_out == (crc_fold(r.doc_id) == 0) and r.predicted == int(r.score >= 0.5)
+        assert abs(r.score - plain_score(model, texts[r.doc_id])) < 1e-6
+
+
+def test_clashing_columns(spark):
+    model = t.fit(corpus(random.Random(2), 200))
+    df = documents(spark, ["a scumbag b", "b"]).withColumn("spans", F.lit("x")).withColumn("predicted", F.lit("y"))
+    out = t.tag_documents(df.union(df), model).collect()
+    assert len(out) == 4 and len({(r.doc_id, r["__tm_score"]) for r in out}) == 2 and all(r.spans == "x" and r.score == 1.5 for r in out)

@@ -20,9 +20,11 @@ The steps:
 Candidates from hashes are verified by exact overlap of the shared shingles, which is the whole overlap.
 
 Defined results: null, empty or blank texts have no shingles and link with nothing; texts under five words are one
-shingle; rows with equal doc_id are one document that links wherever one of its texts does; a null doc_id is counted
-but links with nothing and has no component; other columns are ignored. The input must be a stored table or otherwise
-give the same rows again when read again.
+shingle; very long texts are one set like others, in a block of their own; rows with equal doc_id, repeated ones among
+them, are one document that links wherever one of its texts does; a null doc_id is counted but links with nothing and
+has no component; sets tied in size, position or leader are told apart by their least doc_id; an empty table gives no
+rows; other columns, whatever their names, are ignored. The input must be a stored table or otherwise give the same rows
+again when read again.
 """
 
 from __future__ import annotations

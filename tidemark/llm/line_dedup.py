@@ -7,7 +7,9 @@ pre-aggregation, so a key that fills a third of the corpus reaches a reducer as
 to the documents is a compressed bitmap, 64 lines to a word with untouched words left out, never text.
 
 Defined results: a null or empty text is one empty line; a null doc_id neither loses lines nor counts as a document;
-rows with equal doc_id count as one document; columns beside doc_id and text are ignored.
+rows with equal doc_id count as one document, and lines that a document repeats tie: all of them go or all stay; very
+long texts are split whole, a row for each line; an empty table gives no rows; columns beside doc_id and text, whatever
+their names, are passed through or ignored.
 """
 
 from __future__ import annotations

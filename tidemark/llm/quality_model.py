@@ -8,7 +8,10 @@ A text's features are hashed byte trigrams, as shares of all of the text's, and
 (number, variety, mean length). Scoring reads whole texts in one vectorised pass, linear in bytes.
 
 Defined results: a null or empty text, or one without words, has score null, expected grade the least, tail
-probability 0 and is not kept. Ties in probability need no order. No labelled rows: everything with words is kept.
+probability 0 and is not kept. Very long texts are scored whole (the fit passes over labelled ones of more than
+``SAMPLE_CHARS`` characters). Ties in probability need no order; of several labels of a document the least counts;
+repeated rows are scored alike, each by itself. No labelled rows: everything with words is kept. An empty table gives no
+rows; columns beside doc_id and text, whatever their names, are passed through.
 """
 
 from __future__ import annotations

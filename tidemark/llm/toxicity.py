@@ -6,8 +6,10 @@ documents. The field is trained on these labelled words. Scoring runs forward-ba
 give offending spans, and the largest marginal, calibrated on the training documents, gives the document's score.
 
 Only the text is an input of a score. Defined results: null, empty or wordless texts have no marginal and get the
-calibrated score of a marginal of zero, without spans; repeated rows score alike; without labelled rows of both kinds
-every score is the share of toxic ones among them (0 if there are none).
+calibrated score of a marginal of zero, without spans; very long texts are scored whole (the fit passes over labelled
+ones of more than ``SAMPLE_CHARS`` characters); ties in the marginal need no order; repeated rows score alike; without
+labelled rows of both kinds every score is the share of toxic ones among them (0 if there are none); an empty table
+gives no rows; columns beside doc_id and text, whatever their names, are passed through.
 """
 
 from __future__ import annotations
