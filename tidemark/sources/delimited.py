@@ -1,11 +1,15 @@
 """Delimited text: delimiter detection, headers, and two readers.
 
-The fast reader is Spark's own. The strict one follows the data model where Spark differs: blank lines are rows, a
-quote anywhere opens a quoted stretch, and a lone CR ends a record. It reads splits of a file in parallel: since every
-quote turns the quoted state around, whether a split begins inside quotes is the parity of the quotes before it, which
-one native count tells. Records that lie over split borders come as fragments, and only those are put together file by
-file. Gzip, and other encodings than UTF-8, are read a file to a task. Where the last quote of a file is never closed,
-the line end at the very end of the file is not kept.
+The reader by default follows the data model: blank lines are rows, a quote anywhere opens a quoted stretch, and a lone
+CR ends a record. It reads splits of a file in parallel: since every quote turns the quoted state around, whether a split
+begins inside quotes is the parity of the quotes before it, which one light pass tells together with the records of each
+split, so rows get their numbers as they are parsed. Records that lie over split borders come as fragments, and only
+those are put together file by file. Where a stretch of lines is plain (every quote at a border of a cell, every row of
+the same width) Arrow's parser reads it, else the one below, with the same result. ``.gz`` files are one split each.
+Files that are packed under other names, and other encodings than UTF-8, are read a file to a task. Where the last quote
+of a file is never closed, the line end at the very end of the file is not kept.
+
+``strict=False`` is Spark's own reader, with Spark's rules where they differ.
 """
 
 from __future__ import annotations
@@ -16,13 +20,16 @@ import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyarrow import csv as arrow_csv
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.predicates import column
 from tidemark.sources.inference import Inferred, infer, typed
-from tidemark.sources.rowid import numbered, scan_with_row_ids
+from tidemark.sources.rowid import BROADCAST_SPLITS, numbered, scan_with_row_ids
 
 DELIMITERS = (",", "\t", ";")
 _GZIP_NAME = re.compile(r"\.(csv|tsv)\.g?z(ip)?$", re.I)
@@ -113,6 +120,29 @@ def header_names(cells: list[str]) -> list[str]:
     return out
 
 
+def inflate(data: bytes, most: int | None = None, step: int = 1 << 20) -> Iterator[bytes]:
+    """Gzip data of one member or several, unpacked in pieces; with ``most`` the beginning of what may be cut off.
+
+    EOFError where a whole is asked for and the last member has no end. Zeros after a member are padding.
+    """
+    view, given = memoryview(data), 0
+    while len(view) and (most is None or given < most):
+        if view[0] == 0 and not any(view):
+            return
+        box, at = zlib.decompressobj(31), 0
+        while not box.eof and at < len(view) and (most is None or given < most):
+            piece = box.decompress(view[at : at + step])
+            at += step
+            if piece:
+                given += len(piece)
+                yield piece
+        if not box.eof:
+            if most is None:
+                raise EOFError("the gzip data ends inside a member")
+            return
+        view = view[min(at, len(view)) - len(box.unused_data) :]
+
+
 def _files(spark: SparkSession, path: str) -> list[str]:
     """Names of all files, without reading any."""
     return sorted(spark.read.format("binaryFile").load(path).inputFiles())
@@ -135,7 +165,7 @@ def _head(spark: SparkSession, path: str, encoding: str) -> str:
     finally:
         stream.close()
     if data[:2] == b"\x1f\x8b":
-        data = zlib.decompressobj(31).decompress(data, SNIFF_CHARS)
+        data = b"".join(inflate(data, SNIFF_CHARS))
     return codecs.getincrementaldecoder(encoding)("replace").decode(data).removeprefix("﻿")
 
 
@@ -154,10 +184,8 @@ def _strict_rows(columns: int, delimiter: str, encoding: str):
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
                 data = content.as_py()
-                data = zlib.decompressobj(31).decompress(data) if data[:2] == b"\x1f\x8b" else data
-                decoder = codecs.getincrementaldecoder(encoding)("replace")
-                pieces = (decoder.decode(data[a : a + (1 << 20)], a + (1 << 20) >= len(data)) for a in range(0, len(data), 1 << 20))
-                found = records(_without_bom(pieces), delimiter)
+                chunks = inflate(data) if data[:2] == b"\x1f\x8b" else (data[a : a + (1 << 20)] for a in range(0, len(data), 1 << 20))
+                found = records(_without_bom(codecs.iterdecode(chunks, encoding, "replace")), delimiter)
                 next(found, None)
                 held, at = [], 0
                 for row in found:
@@ -183,19 +211,19 @@ def _batch(path: str, at: int, rows: list[list[str]], columns: int) -> pa.Record
     return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(at, at + len(rows)), pa.int64()), *cells], ["__tm_file", "__tm_place", *(f"c{k}" for k in range(columns))])
 
 
-def read_text(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", strict: bool = False, multiline: bool = True, row_id: str = "__rowId") -> Raw:
+def read_text(spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "utf-8", strict: bool = True, multiline: bool = True, row_id: str = "__rowId") -> Raw:
     """A delimited file, or a folder of files with one header each, as text columns.
 
-    Short rows are filled with empty text, long ones cut. ``multiline=False`` lets Spark split large files, for data
-    without line ends inside quotes.
+    Short rows are filled with empty text, long ones cut. ``multiline=False`` is for ``strict=False`` and lets Spark's
+    reader split large files, for data without line ends inside quotes.
     """
     head = _head(spark, path, encoding)
     delimiter = delimiter or detect_delimiter(head)
     names = header_names(next(records([head], delimiter), []))
     if not names:
         raise ValueError(f"{path} has no header")
-    if strict and encoding.lower().replace("_", "-") in ("utf-8", "utf8", "us-ascii", "ascii") and not any(is_gzip(f) for f in _files(spark, path)):
-        rows, placed = _strict_splits(spark, path, len(names), delimiter, row_id)
+    if strict and encoding.lower().replace("_", "-") in ("utf-8", "utf8", "us-ascii", "ascii") and not any(is_gzip(f) and not f.endswith(".gz") for f in _files(spark, path)):
+        rows = placed = _strict_splits(spark, path, len(names), delimiter, row_id)
     elif strict:
         kind = ", ".join(["__tm_file string", "__tm_place long", *(f"c{k} string" for k in range(len(names)))])
         rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_strict_rows(len(names), delimiter, encoding), kind)
@@ -208,122 +236,236 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
     return Raw(placed.select(column(row_id), *cells), rows.select(*cells), names, delimiter)
 
 
-def _split_rows(columns: int, delimiter: str):
-    """Lines of splits, in order, to complete records and the fragments at the borders.
-
-    ``part`` is 0 for a record. Lines before the first that ends outside quotes, in a split that begins inside them, are
-    a fragment 1 (or 2, if there is no such line: the split lies within a record), and lines after the last a fragment 3.
-    """
+# --- splits -----------------------------------------------------------------------------------------------------------
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.BinaryArray]]:
+    """(what the leading columns say, lines) of each run of rows that they are equal on; lines are the last column."""
+    for batch in batches:
+        *keys, lines = batch.columns
+        new = np.zeros(batch.num_rows, bool)
+        new[:1] = True
+        for c in keys[:2]:
+            code = c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False)
+            new[1:] |= code[1:] != code[:-1]
+        cuts = np.append(np.flatnonzero(new), batch.num_rows)
+        lines = lines.cast(pa.binary())
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            yield tuple(c[int(a)].as_py() for c in keys), lines[int(a) : int(b)]
+
+
+def _quotes(lines: pa.BinaryArray) -> np.ndarray:
+    return pc.count_substring(lines, b'"').to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _lone_returns(lines: pa.BinaryArray, quotes: np.ndarray, quoted: int) -> np.ndarray:
+    """For each line the CRs outside quotes that are not at its end, if the first line begins ``quoted``."""
+    found = np.zeros(len(lines), np.int64)
+    has = np.flatnonzero(pc.match_substring(lines, b"\r").to_numpy(zero_copy_only=False))
+    if len(has):
+        before = (quoted + np.cumsum(quotes) - quotes) % 2
+        for i in has.tolist():
+            parts = lines[i].as_py().removesuffix(b"\r").split(b'"')
+            found[i] = sum(part.count(b"\r") for part in parts[int(before[i]) :: 2])
+    return found
+
+
+def _count_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each split the parity of its quotes, and how many records end in it at a line end, or before one at a lone CR,
+    if it begins outside quotes (n0) or inside (n1, without the record that it begins in)."""
+    now, parity, n, open_, head = None, 0, [0, 0], [0, 0], True
+    rows = []
+
+    def finish():
+        if now is not None:
+            rows.append((*now, parity, *n))
+
+    for key, lines in _stretches(batches):
+        if key != now:
+            finish()
+            now, parity, n, open_, head = key, 0, [0, 0], [0, 0], True
+        quotes = _quotes(lines)
+        after = (parity + np.cumsum(quotes)) % 2
+        for s in (0, 1):
+            lone = _lone_returns(lines, quotes, parity ^ s)
+            ends = np.flatnonzero(after == s)
+            if not len(ends):
+                open_[s] += int(lone.sum())
+                continue
+            n[s] += open_[s] + int(lone[: ends[-1] + 1].sum()) + len(ends)
+            if s and head:
+                n[s] -= open_[s] + int(lone[: ends[0] + 1].sum()) + 1
+                head = False
+            open_[s] = int(lone[ends[-1] + 1 :].sum())
+        parity = int(after[-1])
+    finish()
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["file", "block", "parity", "n0", "n1"])
+
+
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What of a split lies in records over its borders: lines up to the first that ends outside quotes, in a split that
+    begins inside them (part 1, or 2 if there is no such line: the split lies within a record), and lines after the
+    last (part 3)."""
+    now, held, head, quoted, last = None, [], False, 0, False
+
+    def piece(part: int, lines: list[pa.BinaryArray], more: bool) -> pa.RecordBatch:
+        text = _joined_lines(lines).to_pybytes() + (b"\n" if more else b"")
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now[:2], part, text), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["file", "split", "part", "text"])
+
+    def finish() -> Iterator[pa.RecordBatch]:
+        if now is not None and held and quoted:
+            yield piece(2 if head else 3, held, not last)
+
+    for key, lines in _stretches(batches):
+        if key[:2] != (now or ())[:2]:
+            yield from finish()
+            now, held, head, quoted, last = key, [], bool(key[3]), int(key[3]), key[2]
+        after = (quoted + np.cumsum(_quotes(lines))) % 2
+        ends = np.flatnonzero(after == 0)
+        if len(ends) and head:
+            yield piece(1, [*held, lines[: int(ends[0]) + 1]], True)
+            head = False
+        held = [lines[int(ends[-1]) + 1 :]] if len(ends) else [*held, lines]
+        held = [x for x in held if len(x)]
+        quoted = int(after[-1])
+    yield from finish()
+
+
+def _joined_lines(lines: list[pa.BinaryArray]) -> pa.Buffer:
+    whole = pa.concat_arrays(lines)
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), b"\n")[0].as_buffer()
+
+
+def _regular(data: bytes, delimiter: str) -> bool:
+    """Whether every quote opens or closes a whole cell or is one of a doubled pair inside one, and every CR is before LF."""
+    if data.count(b"\r") != data.count(b"\r\n"):
+        return False
+    b = np.frombuffer(data, np.uint8)
+    at = np.flatnonzero(b == 34)
+    border = np.isin(np.arange(256), [ord(delimiter), 10, 13, 34])
+    opens, closes = at[0::2], at[1::2]
+    before, behind = opens[opens > 0] - 1, closes[closes < len(b) - 1] + 1
+    return len(at) % 2 == 0 and bool(border[b[before]].all() and border[b[behind]].all())
+
+
+def parse_chunk(data: bytes, columns: int, delimiter: str) -> list[pa.Array]:
+    """Columns of whole records; short ones are filled, long ones cut."""
+    names = [f"c{k}" for k in range(columns)]
+    if _regular(data, delimiter):
+        try:
+            table = arrow_csv.read_csv(
+                pa.BufferReader(data),
+                arrow_csv.ReadOptions(use_threads=False, block_size=len(data) + 1, column_names=names),
+                arrow_csv.ParseOptions(delimiter=delimiter, newlines_in_values=True, ignore_empty_lines=False),
+                arrow_csv.ConvertOptions(check_utf8=False, column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+            )
+            return [c.combine_chunks() for c in table.columns]
+        except pa.ArrowInvalid:  # rows of other widths
+            pass
+    rows = [(r + [""] * columns)[:columns] for r in records([data.decode("utf-8", "replace")], delimiter)]
+    return [pa.array([r[k] for r in rows], pa.string()) for k in range(columns)]
+
+
+def _split_rows(columns: int, delimiter: str, row_id: str):
+    """Lines of splits, in order, to their complete records, numbered."""
+
+    def batch(first: int, cells: list[pa.Array], skip: int) -> pa.RecordBatch:
+        cells = [c[skip:] for c in cells]
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(first, first + len(cells[0]))), *cells], [row_id, *(f"c{k}" for k in range(columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, {}
-
-        def parsed(flush: bool = False) -> Iterator[pa.RecordBatch]:
-            if state["closed"] and (flush or state["size"] > 1 << 20):
-                rows = list(records(state["closed"], delimiter))[state["skip"] :]
-                state["skip"] = 0
-                if rows:
-                    yield _parts(state, [(0, (r + [""] * columns)[:columns], None) for r in rows], columns)
-                state["closed"], state["size"] = [], 0
-
-        def finished() -> Iterator[pa.RecordBatch]:
-            yield from parsed(True)
-            if state["lines"]:
-                text = "\n".join(state["lines"]) + ("" if state["last"] else "\n")
-                if state["quoted"]:
-                    yield _parts(state, [(2 if state["head"] else 3, None, text)], columns)
-                else:  # the last line of a file without a line end after it
-                    state["closed"] = [text]
-                    yield from parsed(True)
-
-        for batch in batches:
-            for file, block, last, quoted, line in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (file, block) != now:
-                    if now is not None:
-                        yield from finished()
-                    now = file, block
-                    state = {"file": file, "block": block, "last": last, "quoted": quoted, "head": quoted, "lines": [], "closed": [], "size": 0, "skip": int(block == 0), "at": 0}
-                    line = line.removeprefix("\ufeff") if block == 0 else line
-                state["lines"].append(line)
-                if line.count('"') % 2:
-                    state["quoted"] = not state["quoted"]
-                if not state["quoted"]:
-                    text = "\n".join(state["lines"]) + "\n"
-                    state["lines"] = []
-                    if state["head"]:
-                        state["head"] = False
-                        yield _parts(state, [(1, None, text)], columns)
-                    else:
-                        state["closed"].append(text)
-                        state["size"] += len(text)
-                        yield from parsed()
-        if now is not None:
-            yield from finished()
+        now, held, head, quoted, at, skip = None, [], False, 0, 0, 0
+        for key, lines in _stretches(batches):
+            if key[:2] != (now or ())[:2]:
+                now, held = key, []
+                _, _, _, quoted, at, first = key
+                head, skip = bool(quoted), int(first)
+                bom = first and lines[0].as_py().startswith(b"\xef\xbb\xbf")
+                lines = pa.concat_arrays([pa.array([lines[0].as_py()[3:]], pa.binary()), lines[1:]]) if bom else lines
+            after = (quoted + np.cumsum(_quotes(lines))) % 2
+            ends = np.flatnonzero(after == 0)
+            quoted = int(after[-1])
+            if not len(ends):
+                held = [] if head else [*held, lines]
+                continue
+            begin, end = (int(ends[0]) + 1 if head else 0), int(ends[-1]) + 1
+            whole, head, held = [*held, lines[begin:end]], False, [lines[end:]] if end < len(lines) else []
+            if sum(map(len, whole)):
+                cells = parse_chunk(_joined_lines(whole).to_pybytes() + b"\n", columns, delimiter)
+                yield batch(at, cells, skip)
+                at += len(cells[0]) - skip
+                skip = 0
 
     return run
 
 
-def _parts(state: dict, rows: list[tuple[int, list[str] | None, str | None]], columns: int) -> pa.RecordBatch:
-    n = len(rows)
-    cells = [pa.array([None if r[1] is None else r[1][k] for r in rows], pa.string()) for k in range(columns)]
-    # a fragment at the end stands after the split's records, one at the beginning before them
-    place = [(1 << 60) if r[0] == 3 else -1 if r[0] else state["at"] + i for i, r in enumerate(rows)]
-    state["at"] += sum(r[0] == 0 for r in rows)
-    fixed = [pa.array([state["file"]] * n, pa.string()), pa.array([state["block"]] * n, pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array(place, pa.int64()), pa.array([r[2] for r in rows], pa.string())]
-    return pa.RecordBatch.from_arrays([*fixed, *cells], ["__tm_file", "__tm_block", "part", "__tm_place", "text", *(f"c{k}" for k in range(columns))])
-
-
 def _joined(columns: int, delimiter: str):
-    """Fragments of whole files, by block and place, to the records they make, placed where the first one was."""
+    """Fragments of whole files, in order, to the records they make: (split of the first, place among its own, cells)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[str] = []
-        where = None
+        held, where = [], None
 
-        def made() -> Iterator[pa.RecordBatch]:
-            rows = list(records(held, delimiter))
-            state = {"file": where[0], "block": where[1], "at": 1 << 60}
-            yield _parts(state, [(0, (r + [""] * columns)[:columns], None) for r in rows], columns)
+        def made() -> pa.RecordBatch:
+            cells = parse_chunk(b"".join(held), columns, delimiter)
+            n = len(cells[0])
+            return pa.RecordBatch.from_arrays([pa.array([where[1]] * n, pa.int64()), pa.array(range(n), pa.int64()), *cells], ["split", "place", *(f"c{k}" for k in range(columns))])
 
         for batch in batches:
-            for file, block, part, text in zip(*(batch.column(n).to_pylist() for n in ("__tm_file", "__tm_block", "part", "text")), strict=True):
+            for file, split, part, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if held and (file != where[0] or part == 3):
-                    yield from made()
+                    yield made()
                     held = []
-                if not held:
-                    where = file, block
+                where = where if held else (file, split)
                 held.append(text)
                 if part == 1:
-                    yield from made()
+                    yield made()
                     held = []
         if held:
-            yield from made()
+            yield made()
 
     return run
 
 
-def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str, row_id: str) -> tuple[DataFrame, DataFrame]:
+def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str, row_id: str) -> DataFrame:
+    """Numbered rows of all splits; what goes to the driver and back is one row for each split."""
     lines = spark.read.option("lineSep", "\n").text(path)
-    split = ["__tm_file", "__tm_block"]
-    lines = lines.select(F.col("_metadata.file_path").alias("__tm_file"), F.col("_metadata.file_block_start").alias("__tm_block"), "value")
-    quotes = F.sum((F.char_length("value") - F.char_length(F.replace("value", F.lit('"'), F.lit("")))) % 2)
-    state, begins = 0, []
-    counted = lines.groupBy(*split).agg(quotes.alias("q")).orderBy(*split).collect()  # a row for each split
-    for r, after in zip(counted, [*counted[1:], None], strict=True):
-        last = after is None or after["__tm_file"] != r["__tm_file"]
-        begins.append((r["__tm_file"], r["__tm_block"], last, bool(state)))
-        state = 0 if last else (state + r.q) % 2
-    known = spark.createDataFrame(begins, "__tm_file string, __tm_block long, last boolean, quoted boolean")
-    kind = ", ".join(["__tm_file string", "__tm_block long", "part int", "__tm_place long", "text string", *(f"c{k} string" for k in range(columns))])
-    # the hash join keeps the order of lines, which a sort would not
-    parts = lines.join(F.broadcast(known), split).select("__tm_file", "__tm_block", "last", "quoted", "value").mapInArrow(_split_rows(columns, delimiter), kind)
-    rows = parts.where("part = 0")
-    if any(quoted for *_, quoted in begins):
-        pieces = parts.where("part > 0").repartition("__tm_file").sortWithinPartitions("__tm_file", "__tm_block", "__tm_place")
-        rows = rows.unionAll(pieces.mapInArrow(_joined(columns, delimiter), kind))
-    # records put together come after those of the split that their first fragment was in
-    placed = rows.withColumn("__tm_joined", F.col("__tm_place") >= 1 << 60).withColumn("__tm_place", F.col("__tm_place") % (1 << 60)).drop("part", "text")
-    return rows, numbered(placed, [*split, "__tm_joined"], "__tm_place", row_id)
+    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
+    counted = lines.mapInArrow(_count_splits, "file string, block long, parity int, n0 long, n1 long").orderBy("file", "block").collect()
+    known, state, files = [], 0, -1
+    for k, (r, after) in enumerate(zip(counted, [*counted[1:], None], strict=True)):
+        first = k == 0 or counted[k - 1].file != r.file
+        files += first
+        state = 0 if first else state
+        n = (r.n1 if state else r.n0) - (1 if first and not state else 0)
+        known.append({"file_no": files, "split": k, "last": after is None or after.file != r.file, "quoted": state, "first": first, "n": max(n, 0)})
+        state = (state + r.parity) % 2
+    cells = ", ".join(f"c{k} string" for k in range(columns))
+
+    def beside(values: list[tuple], kind: str) -> DataFrame:
+        """Lines, in order, with what is known of their splits."""
+        table = spark.createDataFrame([(r.file, r.block, *v) for r, v in zip(counted, values, strict=True)], f"file string, block long, {kind}")
+        if len(counted) <= BROADCAST_SPLITS:
+            return lines.join(F.broadcast(table), ["file", "block"])  # a hash join keeps the order of lines
+        at = lines.withColumn("__tm_at", F.monotonically_increasing_id())
+        return at.join(table.hint("merge"), ["file", "block"]).sortWithinPartitions("split", "__tm_at")
+
+    across: dict[int, int] = {}
+    if any(r["quoted"] for r in known) or any(r["last"] and (r["quoted"] + c.parity) % 2 for r, c in zip(known, counted, strict=True)):
+        pieces = beside([(r["file_no"], r["split"], r["last"], r["quoted"]) for r in known], "file_no long, split long, last boolean, quoted int")
+        pieces = pieces.select("file_no", "split", "last", "quoted", "value").mapInArrow(_fragments, "file long, split long, part int, text binary")
+        pieces = pieces.repartition("file").sortWithinPartitions("file", "split", "part")
+        joined = pieces.mapInArrow(_joined(columns, delimiter), f"split long, place long, {cells}")
+        across = dict(joined.groupBy("split").count().collect())
+    base, bases = 0, []
+    for r in known:
+        bases.append(base)
+        base += r["n"] + across.get(r["split"], 0)
+    rows = beside([(r["file_no"], r["split"], r["last"], r["quoted"], b, r["first"]) for r, b in zip(known, bases, strict=True)], "file_no long, split long, last boolean, quoted int, base long, first boolean")
+    rows = rows.select("file_no", "split", "last", "quoted", "base", "first", "value").mapInArrow(_split_rows(columns, delimiter, row_id), f"`{row_id}` long, {cells}")
+    if across:
+        after = spark.createDataFrame([(r["split"], b + r["n"]) for r, b in zip(known, bases, strict=True) if r["split"] in across], "split long, after long")
+        after = F.broadcast(after) if len(across) <= BROADCAST_SPLITS else after
+        rows = rows.unionAll(joined.join(after, "split").select((F.col("after") + F.col("place")).alias(row_id), *(f"c{k}" for k in range(columns))))
+    return rows
 
 
 @dataclass(frozen=True)
