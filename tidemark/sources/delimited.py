@@ -19,6 +19,7 @@ import re
 import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -232,24 +233,35 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
         schema = ", ".join(f"c{k} string" for k in range(len(names)))
         rows = spark.read.schema(schema).csv(path, header=True, sep=delimiter, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding, multiLine=multiline, enforceSchema=True, nullValue="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         placed = scan_with_row_ids(rows, row_id)
-    cells = [F.coalesce(F.col(f"c{k}"), F.lit("")).alias(n) for k, n in enumerate(names)]
+    cells = [(F.col(f"c{k}") if strict else F.coalesce(F.col(f"c{k}"), F.lit(""))).alias(n) for k, n in enumerate(names)]
     return Raw(placed.select(column(row_id), *cells), rows.select(*cells), names, delimiter)
 
 
 # --- splits -----------------------------------------------------------------------------------------------------------
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.BinaryArray]]:
-    """(what the leading columns say, lines) of each run of rows that they are equal on; lines are the last column."""
+def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], pa.BinaryArray]]:
+    """((file, block), lines) of each run of rows of one split."""
     for batch in batches:
-        *keys, lines = batch.columns
-        new = np.zeros(batch.num_rows, bool)
-        new[:1] = True
-        for c in keys[:2]:
-            code = c.dictionary_encode().indices.to_numpy() if pa.types.is_string(c.type) else c.to_numpy(zero_copy_only=False)
-            new[1:] |= code[1:] != code[:-1]
-        cuts = np.append(np.flatnonzero(new), batch.num_rows)
-        lines = lines.cast(pa.binary())
+        file, block = (batch.column(n).to_numpy(zero_copy_only=False) for n in ("file", "block"))
+        cuts = np.concatenate([[0], np.flatnonzero((file[1:] != file[:-1]) | (block[1:] != block[:-1])) + 1, [batch.num_rows]])
+        lines = batch.column("value").cast(pa.binary())
         for a, b in zip(cuts, cuts[1:], strict=False):
-            yield tuple(c[int(a)].as_py() for c in keys), lines[int(a) : int(b)]
+            if a < b:
+                yield (int(file[a]), int(block[a])), lines[int(a) : int(b)]
+
+
+class Splits:
+    """What every task knows of all splits: 40 bytes for each, found by file and block."""
+
+    def __init__(self, rows: list[tuple[int, int, int, int, int]]):
+        """(file, block, number, base, bits) with bits: 1 the last of its file, 2 begins inside quotes, 4 the first."""
+        self.table = np.array(sorted(rows), np.int64).reshape(-1, 5)
+
+    def __getitem__(self, key: tuple[int, int]) -> tuple[int, int, bool, int, bool]:
+        """(number, base, last, quoted, first)"""
+        t = self.table
+        a, b = np.searchsorted(t[:, 0], key[0], "left"), np.searchsorted(t[:, 0], key[0], "right")
+        _, _, number, base, bits = t[a + np.searchsorted(t[a:b, 1], key[1])].tolist()
+        return number, base, bool(bits & 1), (bits >> 1) & 1, bool(bits & 4)
 
 
 def _quotes(lines: pa.BinaryArray) -> np.ndarray:
@@ -298,36 +310,42 @@ def _count_splits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         parity = int(after[-1])
     finish()
     if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["file", "block", "parity", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["file", "block", "parity", "n0", "n1"])
 
 
-def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fragments(splits):
     """What of a split lies in records over its borders: lines up to the first that ends outside quotes, in a split that
     begins inside them (part 1, or 2 if there is no such line: the split lies within a record), and lines after the
     last (part 3)."""
-    now, held, head, quoted, last = None, [], False, 0, False
 
-    def piece(part: int, lines: list[pa.BinaryArray], more: bool) -> pa.RecordBatch:
-        text = _joined_lines(lines).to_pybytes() + (b"\n" if more else b"")
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*now[:2], part, text), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["file", "split", "part", "text"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, number, held, head, quoted, last = None, 0, [], False, 0, False
 
-    def finish() -> Iterator[pa.RecordBatch]:
-        if now is not None and held and quoted:
-            yield piece(2 if head else 3, held, not last)
+        def piece(part: int, lines: list[pa.BinaryArray], more: bool) -> pa.RecordBatch:
+            text = _joined_lines(lines).to_pybytes() + (b"\n" if more else b"")
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((now[0], number, part, text), (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["file", "split", "part", "text"])
 
-    for key, lines in _stretches(batches):
-        if key[:2] != (now or ())[:2]:
-            yield from finish()
-            now, held, head, quoted, last = key, [], bool(key[3]), int(key[3]), key[2]
-        after = (quoted + np.cumsum(_quotes(lines))) % 2
-        ends = np.flatnonzero(after == 0)
-        if len(ends) and head:
-            yield piece(1, [*held, lines[: int(ends[0]) + 1]], True)
-            head = False
-        held = [lines[int(ends[-1]) + 1 :]] if len(ends) else [*held, lines]
-        held = [x for x in held if len(x)]
-        quoted = int(after[-1])
-    yield from finish()
+        def finish() -> Iterator[pa.RecordBatch]:
+            if now is not None and held and quoted:
+                yield piece(2 if head else 3, held, not last)
+
+        for key, lines in _stretches(batches):
+            if key != now:
+                yield from finish()
+                now, held = key, []
+                number, _, last, quoted, _ = splits.value[key]
+                head = bool(quoted)
+            after = (quoted + np.cumsum(_quotes(lines))) % 2
+            ends = np.flatnonzero(after == 0)
+            if len(ends) and head:
+                yield piece(1, [*held, lines[: int(ends[0]) + 1]], True)
+                head = False
+            held = [lines[int(ends[-1]) + 1 :]] if len(ends) else [*held, lines]
+            held = [x for x in held if len(x)]
+            quoted = int(after[-1])
+        yield from finish()
+
+    return run
 
 
 def _joined_lines(lines: list[pa.BinaryArray]) -> pa.Buffer:
@@ -365,7 +383,7 @@ def parse_chunk(data: bytes, columns: int, delimiter: str) -> list[pa.Array]:
     return [pa.array([r[k] for r in rows], pa.string()) for k in range(columns)]
 
 
-def _split_rows(columns: int, delimiter: str, row_id: str):
+def _split_rows(splits, columns: int, delimiter: str, row_id: str):
     """Lines of splits, in order, to their complete records, numbered."""
 
     def batch(first: int, cells: list[pa.Array], skip: int) -> pa.RecordBatch:
@@ -375,9 +393,9 @@ def _split_rows(columns: int, delimiter: str, row_id: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, head, quoted, at, skip = None, [], False, 0, 0, 0
         for key, lines in _stretches(batches):
-            if key[:2] != (now or ())[:2]:
+            if key != now:
                 now, held = key, []
-                _, _, _, quoted, at, first = key
+                _, at, _, quoted, first = splits.value[key]
                 head, skip = bool(quoted), int(first)
                 bom = first and lines[0].as_py().startswith(b"\xef\xbb\xbf")
                 lines = pa.concat_arrays([pa.array([lines[0].as_py()[3:]], pa.binary()), lines[1:]]) if bom else lines
@@ -426,43 +444,40 @@ def _joined(columns: int, delimiter: str):
 
 
 def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str, row_id: str) -> DataFrame:
-    """Numbered rows of all splits; what goes to the driver and back is one row for each split."""
-    lines = spark.read.option("lineSep", "\n").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value")
-    counted = lines.mapInArrow(_count_splits, "file string, block long, parity int, n0 long, n1 long").orderBy("file", "block").collect()
-    known, state, files = [], 0, -1
-    for k, (r, after) in enumerate(zip(counted, [*counted[1:], None], strict=True)):
-        first = k == 0 or counted[k - 1].file != r.file
-        files += first
-        state = 0 if first else state
-        n = (r.n1 if state else r.n0) - (1 if first and not state else 0)
-        known.append({"file_no": files, "split": k, "last": after is None or after.file != r.file, "quoted": state, "first": first, "n": max(n, 0)})
-        state = (state + r.parity) % 2
+    """Numbered rows of all splits; what goes to the driver and back is one row of five numbers for each split."""
+    place = F.xxhash64(F.col("_metadata.file_path")).alias("file")
+    order = {h: k for k, (_, h) in enumerate(sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("_metadata.file_path", place).collect()))}
+    lines = spark.read.option("lineSep", "\n").text(path).select(place, F.col("_metadata.file_block_start").alias("block"), "value")
+    # where no line has an odd quote or a CR before its end, lines are records, which one native count tells
+    odd_quotes = (F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2
+    early_return = F.instr("value", "\r").between(1, F.char_length("value") - 1)
+    plain = lines.groupBy("file", "block").agg(F.lit(0).alias("parity"), F.count(F.lit(1)).alias("n0"), F.count(F.lit(1)).alias("n1"), F.bool_or((odd_quotes > 0) | early_return).alias("other")).collect()
+    if any(r.other for r in plain):
+        plain = lines.mapInArrow(_count_splits, "file long, block long, parity int, n0 long, n1 long").collect()
+    counted = sorted(((order[r.file], r) for r in plain), key=lambda x: (x[0], x[1].block))
+    known, quoted, odd = [], 0, False
+    for k, (file, r) in enumerate(counted):
+        first, last = k == 0 or counted[k - 1][0] != file, k + 1 == len(counted) or counted[k + 1][0] != file
+        quoted = 0 if first else quoted
+        n = max((r.n1 if quoted else r.n0) - (1 if first and not quoted else 0), 0)
+        known.append((r, n, last | quoted << 1 | first << 2))
+        quoted = (quoted + r.parity) % 2
+        odd |= bool(quoted)
     cells = ", ".join(f"c{k} string" for k in range(columns))
 
-    def beside(values: list[tuple], kind: str) -> DataFrame:
-        """Lines, in order, with what is known of their splits."""
-        table = spark.createDataFrame([(r.file, r.block, *v) for r, v in zip(counted, values, strict=True)], f"file string, block long, {kind}")
-        if len(counted) <= BROADCAST_SPLITS:
-            return lines.join(F.broadcast(table), ["file", "block"])  # a hash join keeps the order of lines
-        at = lines.withColumn("__tm_at", F.monotonically_increasing_id())
-        return at.join(table.hint("merge"), ["file", "block"]).sortWithinPartitions("split", "__tm_at")
+    def table(bases: list[int]):
+        return spark.sparkContext.broadcast(Splits([(r.file, r.block, k, b, bits) for k, ((r, _, bits), b) in enumerate(zip(known, bases, strict=True))]))
 
     across: dict[int, int] = {}
-    if any(r["quoted"] for r in known) or any(r["last"] and (r["quoted"] + c.parity) % 2 for r, c in zip(known, counted, strict=True)):
-        pieces = beside([(r["file_no"], r["split"], r["last"], r["quoted"]) for r in known], "file_no long, split long, last boolean, quoted int")
-        pieces = pieces.select("file_no", "split", "last", "quoted", "value").mapInArrow(_fragments, "file long, split long, part int, text binary")
+    if odd:  # some split ends inside quotes
+        pieces = lines.mapInArrow(_fragments(table([0] * len(known))), "file long, split long, part int, text binary")
         pieces = pieces.repartition("file").sortWithinPartitions("file", "split", "part")
         joined = pieces.mapInArrow(_joined(columns, delimiter), f"split long, place long, {cells}")
         across = dict(joined.groupBy("split").count().collect())
-    base, bases = 0, []
-    for r in known:
-        bases.append(base)
-        base += r["n"] + across.get(r["split"], 0)
-    rows = beside([(r["file_no"], r["split"], r["last"], r["quoted"], b, r["first"]) for r, b in zip(known, bases, strict=True)], "file_no long, split long, last boolean, quoted int, base long, first boolean")
-    rows = rows.select("file_no", "split", "last", "quoted", "base", "first", "value").mapInArrow(_split_rows(columns, delimiter, row_id), f"`{row_id}` long, {cells}")
+    bases = list(accumulate((n + across.get(k, 0) for k, (_, n, _) in enumerate(known)), initial=0))[:-1]
+    rows = lines.mapInArrow(_split_rows(table(bases), columns, delimiter, row_id), f"`{row_id}` long, {cells}")
     if across:
-        after = spark.createDataFrame([(r["split"], b + r["n"]) for r, b in zip(known, bases, strict=True) if r["split"] in across], "split long, after long")
+        after = spark.createDataFrame([(k, bases[k] + known[k][1]) for k in sorted(across)], "split long, after long")
         after = F.broadcast(after) if len(across) <= BROADCAST_SPLITS else after
         rows = rows.unionAll(joined.join(after, "split").select((F.col("after") + F.col("place")).alias(row_id), *(f"c{k}" for k in range(columns))))
     return rows
