@@ -146,7 +146,7 @@ def test_csv_out(spark, tmp_path):
     df = spark.createDataFrame([(1, 'a "b"', None, 30.0, True), (2, "x\ny", "", 0.5, None)], "id int, t string, n string, d double, b boolean")
     for gz in (False, True):
         path = str(tmp_path / f"out{gz}")
-        export.write_csv(df.orderBy("id"), path, gzip=gz)
+        export.write_csv(df.orderBy("id"), path, gzip=gz, one_file=True)
         (file,) = [p for p in (tmp_path / f"out{gz}").iterdir() if p.name.startswith("part-")]
         data = gzip.decompress(file.read_bytes()) if gz else file.read_bytes()
         assert data.decode() == '"id","t","n","d","b"\n"1","a ""b""","","30","true"\n"2","x\ny","","0.5",""\n'
@@ -171,3 +171,51 @@ def test_stream(spark, tmp_path):
     ingest.load_progressively(rows, str(tmp_path / "out"), str(tmp_path / "cp"), seen.append).awaitTermination()
     assert [p.total_rows for p in seen] == [5, 10, 15] and spark.read.parquet(str(tmp_path / "out")).count() == 15
     assert column("a`b") is not None
+
+
+@pytest.mark.parametrize("name", ["m.csv.gz", "m.csv.gzip"])
+def test_gzip_files_of_several_members(spark, tmp_path, name):
+    members = [gzip.compress(x.encode()) for x in ('a,b\n1,"x\n', 'y"\n2,z\n', "", "3,w\n" * 5000)]
+    (tmp_path / name).write_bytes(b"".join(members))
+    assert read(spark, str(tmp_path / name)) == [("1", "x\ny"), ("2", "z"), *[("3", "w")] * 5000]
+    (tmp_path / f"cut-{name}").write_bytes(b"".join(members)[:-20])
+    with pytest.raises(Exception):  # noqa: B017  the codec's error or EOFError, by way of the JVM
+        read(spark, str(tmp_path / f"cut-{name}"))
+
+
+def test_inflate():
+    import os
+
+    data = os.urandom(3 << 20) + b"tail" * 1000
+    packed = gzip.compress(data[:1000]) + gzip.compress(data[1000:]) + b"\0" * 7
+    assert b"".join(d.inflate(packed)) == data and b"".join(d.inflate(packed, step=100)) == data
+    assert data.startswith(b"".join(d.inflate(packed[:5000], 4000)))
+    with pytest.raises(EOFError):
+        list(d.inflate(packed[:2000]))
+
+
+def test_default_reader_uses_all_splits_of_a_file(spark, tmp_path):
+    (tmp_path / "big.csv").write_text("id,text\n" + "".join(f'{k},"line\n{k} ""q"""\n' for k in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        raw = d.read_text(spark, str(tmp_path / "big.csv"))
+        assert raw.plain.select(F.spark_partition_id()).distinct().count() > 10
+        assert [tuple(r) for r in raw.df.orderBy("__rowId").collect()] == [(k, str(k), f'line\n{k} "q"') for k in range(3000)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+@pytest.mark.parametrize("text", ['a,b\n1,2\n', '"a","b ""q"""\r\n"x\ny",""\n', 'a""b,c\n', 'a,"b"c\n', 'mid"q,"x,2\n', "a,b\rc,d\r\n", "\n,\n", "a,b,c\nd\n", '"",\n', '""a,b\n'])
+def test_arrow_parser_agrees(text):
+    rows = [(r + ["", ""])[:2] for r in d.records([text], ",")]
+    got = d.parse_chunk(text.encode(), 2, ",")
+    assert [list(r) for r in zip(*(c.to_pylist() for c in got), strict=True)] == rows
+
+
+def test_header_longer_than_the_first_look(spark, tmp_path):
+    names = [f"column_{k}_{'x' * 40}" for k in range(3000)]
+    (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(3000))) + "\n")
+    assert d.read_text(spark, str(tmp_path / "wide.csv")).columns == names

@@ -128,3 +128,34 @@ def test_suggestions(spark):
     spelt = table(spark, "string", ["Kitten ", "kitten", "KITTEN", "mittens", "kitty", "kittens"])
     found = spelt.view().filter(Predicate("value", Op.EQ, "kittem")).filter_report().did_you_mean
     assert found.suggestions == ("Kitten", "kittens", "kitty")
+
+
+@pytest.mark.parametrize("sorts", [[], [("value", False)], [("value", True)], [("name", True), ("value", False)], [("at", True)], [("at", False), ("name", True)]])
+def test_rest_of_a_view_from_any_row_on(spark, sorts):
+    import random
+
+    rng = random.Random(3)
+    rows = [(k, rng.choice([None, 1.0, 2.0, float("nan")]), rng.choice([None, "a2", "a10", "b"]), rng.choice([None, datetime(2024, 1, 1), datetime(2024, 1, 2)])) for k in range(40)]
+    ds = Dataset.of(spark.createDataFrame(rows, "__rowId long, value double, name string, at timestamp_ntz").repartition(4), "__rowId")
+    view = ds.view().sort([Sort(c, d) for c, d in sorts])
+    whole = [r["__rowId"] for r in view.df.collect()]
+    for offset in (0, 1, 17, 39, 40, 50):
+        page = view.window(offset)
+        assert page.columns == view.df.columns and [r["__rowId"] for r in page.collect()] == whole[offset:]
+    assert "CollectLimit -1" not in view.window(5)._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("sorts", [[("name", True)], [("name", True), ("score", False)], [("active", True), ("name", True), ("timestamp", False)], [("name", True), ("other", False)], [("score", False), ("name", False), ("other", True)]])
+def test_groups_come_in_the_order_of_their_first_rows(spark, sorts):
+    import random
+
+    rng = random.Random(7)
+    names = [None, "a2", "a10", "B", "b", "\u00c9"]
+    rows = [(k, rng.choice(names), rng.choice([None, 1.0, 2.0]), rng.choice([None, True, False]), rng.choice([None, datetime(2024, 1, 1), datetime(2024, 1, 2)]), rng.choice(names), rng.choice([None, "x", "y", "z"])) for k in range(60)]
+    ds = Dataset.of(spark.createDataFrame(rows, "__rowId long, name string, score double, active boolean, timestamp timestamp_ntz, other string, g string"), "__rowId")
+    view = ds.view().sort([Sort(c, d) for c, d in sorts])
+    for keys in (["g"], ["g", "active"]):
+        grouped = view.group_by(keys)
+        seen = dict.fromkeys(tuple(r[k] for k in keys) for r in view.df.collect())
+        assert [tuple(r[k] for k in keys) for r in grouped.df.collect()] == list(seen)
+    assert ("Window" in grouped.df._jdf.queryExecution().executedPlan().toString()) == any(c == "other" for c, _ in sorts)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.text import iso, kind_of
-from tidemark.operators.ordering import Key, sort_keys
+from tidemark.operators.ordering import row_key, sort_keys
 from tidemark.operators.predicates import column
 from tidemark.plans.nodes import Aggregation, Kind, Sort
 
@@ -64,6 +65,10 @@ class Grouped:
         return got[0], got[1] or 0
 
 
+def _struct(columns: Sequence[Column]) -> Column:
+    return F.struct(*(c.alias(f"k{i}") for i, c in enumerate(columns)))
+
+
 def group_by(df: DataFrame, keys: str | Sequence[str], aggregations: Sequence[Aggregation] = (), sorts: Sequence[Sort] = (), row_id: str = "__rowId") -> Grouped:
     """Groups of ``df`` by the keys, null being a key too.
 
@@ -82,18 +87,28 @@ def group_by(df: DataFrame, keys: str | Sequence[str], aggregations: Sequence[Ag
         if k not in schema.names:
             df = df.withColumn(k, F.lit(None).cast("string"))
     keyed = [column(k) for k in keys]
-    by_rows = [*sort_keys(sorts, schema), Key(column(row_id), False, column(row_id))]
+    by_rows = [*sort_keys(sorts, schema), row_key(row_id)]
     measures = [F.count(F.lit(1)).alias(ROWS), *(c.alias(n) for n, c in made.items() if n != ROWS)]
     if all(k.rising is not None for k in by_rows):
-        least = F.min(F.struct(*(k.rising.alias(f"k{i}") for i, k in enumerate(by_rows)))).alias(_FIRST)
-        out = df.groupBy(*keyed).agg(*measures, least)
+        out = df.groupBy(*keyed).agg(*measures, F.min(_struct([k.rising for k in by_rows])).alias(_FIRST))
         by = [F.col(_FIRST).asc()]
+    elif all(k.falling is not None for k in by_rows):
+        out = df.groupBy(*keyed).agg(*measures, F.max(_struct([k.falling for k in by_rows])).alias(_FIRST))
+        by = [F.col(_FIRST).desc()]
     else:
-        # text in falling order has no rising key: a window finds the first row of each group instead
-        first = F.row_number().over(Window.partitionBy(*keyed).orderBy(*(k.order for k in by_rows))) == 1
-        marked = df.withColumn(_FIRST, first)
-        out = marked.groupBy(*keyed).agg(*measures, *(F.min(F.when(F.col(_FIRST), k.key)).alias(f"{_FIRST}{i}") for i, k in enumerate(by_rows)))
-        by = [F.col(f"{_FIRST}{i}").desc() if k.descending else F.col(f"{_FIRST}{i}").asc() for i, k in enumerate(by_rows)]
+        # Text rises in one column and falls in another. Of the rows of a group that are alike in text the first is found
+        # by partial aggregation, and only these, as many as there are texts, are ranked.
+        text = {i: k for i, k in enumerate(by_rows) if k.rising is None or k.falling is None}
+        others = [i for i in range(len(by_rows)) if i not in text]
+        texts = [F.col(f"{_FIRST}{i}") for i in text]
+        parts = df.withColumns({f"{_FIRST}{i}": k.key for i, k in text.items()}).groupBy(*keyed, *texts).agg(F.min(_struct([by_rows[i].rising for i in others])).alias(_FIRST))
+        cells = {i: F.col(_FIRST)[f"k{n}"] for n, i in enumerate(others)}
+        order = [cells[i].asc() if i in cells else F.col(f"{_FIRST}{i}").desc() if k.descending else F.col(f"{_FIRST}{i}").asc() for i, k in enumerate(by_rows)]
+        first = parts.withColumn("__tm_at", F.row_number().over(Window.partitionBy(*keyed).orderBy(*order))).where("__tm_at = 1").drop("__tm_at")
+        names = {k: f"__tm_g{n}" for n, k in enumerate(keys)}
+        first = first.select(*(column(k).alias(n) for k, n in names.items()), _FIRST, *(f"{_FIRST}{i}" for i in text))
+        same = reduce(Column.__and__, [column(k).eqNullSafe(F.col(n)) for k, n in names.items()])
+        out, by = df.groupBy(*keyed).agg(*measures).join(first, same), order
     shown = [column(k) for k in keys] + [column(n) for n in made if n != ROWS] + [F.col(ROWS)]
     return Grouped(out.orderBy(*by).select(*shown), tuple(keys), out.select(ROWS))
 

@@ -16,11 +16,15 @@ from tidemark.plans.nodes import Kind, Sort
 
 @dataclass(frozen=True)
 class Key:
-    """A part of the order. ``rising`` orders ascending as ``key`` does in its direction, where there is such a column."""
+    """A part of the order. ``rising`` orders ascending, and ``falling`` descending, as ``key`` does in its direction.
+
+    Text, whose order is a collation's, has only one of them.
+    """
 
     key: Column
     descending: bool
     rising: Column | None
+    falling: Column | None
 
     @property
     def order(self) -> Column:
@@ -36,7 +40,7 @@ def sort_keys(sorts: Sequence[Sort], schema: T.StructType) -> list[Key]:
     keys: list[Key] = []
 
     def add(c: Column, down: bool, turned: Column | None) -> None:
-        keys.append(Key(c, down, turned if down else c))
+        keys.append(Key(c, down, turned if down else c, c if down else turned))
 
     for s in sorts:
         if s.column not in schema.names:
@@ -62,6 +66,11 @@ def sort_keys(sorts: Sequence[Sort], schema: T.StructType) -> list[Key]:
     return keys
 
 
+def row_key(row_id: str) -> Key:
+    """Ties are in the order of rows, whichever direction."""
+    return Key(column(row_id), False, column(row_id), -column(row_id))
+
+
 def ordering(sorts: Sequence[Sort], schema: T.StructType, row_id: str) -> list[Column]:
     """Columns for ``orderBy``; ties are in the order of rows, whichever direction."""
     return [k.order for k in sort_keys(sorts, schema)] + [column(row_id).asc()]

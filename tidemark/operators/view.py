@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.scalars import JS_SPACE
 from tidemark.functions.text import display, kind_of, norm
 from tidemark.operators.grouping import Grouped, group_by
-from tidemark.operators.ordering import ordering
+from tidemark.operators.ordering import ordering, row_key, sort_keys
 from tidemark.operators.predicates import Scope, column, compile_node, compile_predicate, names_labels, warnings
 from tidemark.operators.suggest import DidYouMean, did_you_mean
 from tidemark.plans.nodes import Aggregation, Kind, Node, Sort, leaves
@@ -131,11 +131,35 @@ class View:
         return self.unsorted.orderBy(*self.order)
 
     def window(self, offset: int = 0, limit: int | None = None) -> DataFrame:
-        """A page as a DataFrame; no limit is to the end, a limit of 0 or less is nothing."""
+        """A page as a DataFrame; no limit is to the end, a limit of 0 or less is nothing.
+
+        A page with a limit is a top-k. The rest of a view from some row on may be most of it, so it is not numbered in
+        one place: the row before it is found as a top-k, at once, and the rows after that one are sorted like any view.
+        """
         if limit is not None and limit <= 0:
             return self.unsorted.limit(0)
-        df = self.df.offset(offset) if offset > 0 else self.df
-        return df if limit is None else df.limit(limit)
+        if limit is not None:
+            return (self.df.offset(offset) if offset > 0 else self.df).limit(limit)
+        return self.df if offset <= 0 else self._after(offset)
+
+    def _after(self, offset: int) -> DataFrame:
+        """Rows from place ``offset`` on, in order."""
+        keys = [*sort_keys(self.sorts, self.dataset.schema), row_key(self.dataset.row_id)]
+        names = [f"__tm_k{i}" for i in range(len(keys))]
+        kinds = [f.dataType for f in self.unsorted.select(*(k.key.alias(n) for n, k in zip(names, keys, strict=True))).schema]
+        border = self.df.select(*(k.key.cast("string").alias(n) for n, k in zip(names, keys, strict=True))).offset(offset - 1).limit(1).collect()
+        if not border:
+            return self.unsorted.limit(0)
+        later, equal = F.lit(False), F.lit(True)
+        for text, kind, k in zip(border[0], kinds, keys, strict=True):
+            theirs = F.lit(text).cast(kind)
+            # null comes first rising and last falling, as in the order itself
+            if text is None:
+                beyond = F.lit(False) if k.descending else k.key.isNotNull()
+            else:
+                beyond = F.coalesce(k.key < theirs, F.lit(True)) if k.descending else F.coalesce(k.key > theirs, F.lit(False))
+            later, equal = later | (equal & beyond), equal & k.key.eqNullSafe(theirs)
+        return self.unsorted.where(later).orderBy(*self.order)
 
     def page(self, offset: int = 0, limit: int | None = None) -> Page:
         total, matched = self.counts()

@@ -34,8 +34,8 @@ from tidemark.sources.rowid import BROADCAST_SPLITS, numbered, scan_with_row_ids
 
 DELIMITERS = (",", "\t", ";")
 _GZIP_NAME = re.compile(r"\.(csv|tsv)\.g?z(ip)?$", re.I)
-#: Characters of a file that are looked at for its header.
-SNIFF_CHARS = 1 << 20
+#: Bytes of a file that are looked at for its header: more, if the header does not end in them.
+SNIFF_BYTES = (1 << 16, 1 << 20)
 
 
 def is_gzip(name: str, mime: str | None = None) -> bool:
@@ -160,14 +160,21 @@ def _head(spark: SparkSession, path: str, encoding: str) -> str:
     """The beginning of the first file, read by the cluster's own file system and unpacked if need be."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(_first_file(spark, path))
-    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
-    try:
-        data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, SNIFF_CHARS)))
-    finally:
-        stream.close()
-    if data[:2] == b"\x1f\x8b":
-        data = b"".join(inflate(data, SNIFF_CHARS))
-    return codecs.getincrementaldecoder(encoding)("replace").decode(data).removeprefix("﻿")
+    text = ""
+    for most in SNIFF_BYTES:
+        stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(where)
+        try:
+            data = bytes(jvm.org.apache.commons.io.IOUtils.toByteArray(jvm.org.apache.commons.io.input.BoundedInputStream(stream, most)))
+        finally:
+            stream.close()
+        whole = len(data) < most
+        if data[:2] == b"\x1f\x8b":
+            data = b"".join(inflate(data, most))
+        text = codecs.getincrementaldecoder(encoding)("replace").decode(data).removeprefix("\ufeff")
+        found = records([text], ",")
+        if whole or (next(found, None) and next(found, None)):
+            break
+    return text
 
 
 @dataclass(frozen=True)

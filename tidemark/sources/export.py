@@ -36,17 +36,18 @@ def csv_text(headers: Sequence[str], rows: Sequence[Sequence[Any]]) -> str:
     return "\n".join(",".join(map(quote, row)) for row in [headers, *rows])
 
 
-def write_csv(df: DataFrame, path: str, gzip: bool = False, one_file: bool = True, mode: str = "errorifexists") -> None:
-    """``df`` as CSV below ``path``, in its order. One file is written by one task after the sort; ``one_file=False``
-    writes a file for each sorted partition, whose names keep the order, for results of any size."""
+def write_csv(df: DataFrame, path: str, gzip: bool = False, one_file: bool = False, mode: str = "errorifexists") -> None:
+    """``df`` as CSV below ``path``, in its order: a file with a header for each partition, whose names keep the order,
+    which :func:`tidemark.sources.delimited.read_text` reads back as one table. ``one_file=True`` has one task write
+    one file, for results that people take away."""
     text = as_text(df)
     text = text.coalesce(1) if one_file else text
     text.write.mode(mode).csv(path, header=True, quoteAll=True, escape='"', quote='"', emptyValue="", nullValue="", compression="gzip" if gzip else "none", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
-def write_grouping(grouped: Grouped, path: str, gzip: bool = False, mode: str = "errorifexists") -> None:
+def write_grouping(grouped: Grouped, path: str, gzip: bool = False, one_file: bool = False, mode: str = "errorifexists") -> None:
     """Group columns, aggregates and the rows of each group."""
-    write_csv(grouped.df, path, gzip, mode=mode)
+    write_csv(grouped.df, path, gzip, one_file, mode)
 
 
 def write_annotations(envelope: dict[str, Any], path: str | Path) -> None:
