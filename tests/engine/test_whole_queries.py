@@ -10,7 +10,7 @@ def test_norm_reads_texts_to_their_end(spark, tmp_path):
     texts = ["  " + "word " * 40 + "CAFE\u0301 \n", "short", None, "a" * 60 + "E\u0301", "a" * 60 + "\u00c9"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     want = [unicodedata.normalize("NFC", (t or "").strip()).lower() for t in texts]
-    got = {r.doc_id: (r.n_chars, r.digest) for r in QUERIES["fn_norm_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: (r.n_chars, r.digest) for r in QUERIES["fn_norm"](spark, str(tmp_path)).collect()}
     assert got == {i: (len(t), hashlib.md5(t.encode()).hexdigest()) for i, t in enumerate(want)}
     assert got[3] == got[4]
 
@@ -23,10 +23,10 @@ def test_sorts_rank_every_row(spark, tmp_path, monkeypatch):
     folders = iter(range(9))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # several ranges, however few rows
     natural = sorted(range(n), key=lambda i: (i * 7919 % 120, i))
-    got = QUERIES["sort_string_natural_all"](spark, str(tmp_path)).collect()
+    got = QUERIES["sort_string_natural"](spark, str(tmp_path)).collect()
     assert [r.p_partkey for r in sorted(got, key=lambda r: r.rank)] == natural
     assert sorted(r.rank for r in got) == list(range(1, n + 1))
-    by_size = QUERIES["sort_num_desc_tiebreak_all"](spark, str(tmp_path)).collect()
+    by_size = QUERIES["sort_num_desc_tiebreak"](spark, str(tmp_path)).collect()
     assert [r.p_partkey for r in sorted(by_size, key=lambda r: r.rank)] == sorted(range(n), key=lambda i: (-(i % 50), i))
     spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert spark.read.parquet(f"{tmp_path}/ranked-0").selectExpr("shiftright(__tm_at, 33)").distinct().count() > 1
@@ -36,7 +36,7 @@ def test_datetime_nulls_are_ranked_at_both_ends(spark, sf, tmp_path, monkeypatch
     folders = iter(range(9))
     monkeypatch.setattr("tidemark.queries._scratch", lambda spark, name: f"{tmp_path}/{name}-{next(folders)}")
     n = spark.read.parquet(f"{sf}/events.parquet").count()
-    got = QUERIES["sort_datetime_nulls_all"](spark, sf).collect()
+    got = QUERIES["sort_datetime_nulls"](spark, sf).collect()
     down = {r.event_id: r.rank for r in got[:n]}
     up = {-r.event_id: r.rank for r in got[n:]}
     assert len(got) == 2 * n and sorted(down.values()) == sorted(up.values()) == list(range(1, n + 1))
@@ -45,7 +45,7 @@ def test_datetime_nulls_are_ranked_at_both_ends(spark, sf, tmp_path, monkeypatch
 
 
 def test_inference_keeps_keys_that_are_written_like_truth_values(spark, sf):
-    rows = QUERIES["infer_every_row"](spark, sf)
+    rows = QUERIES["infer_all_rows"](spark, sf)
     orders = spark.read.parquet(f"{sf}/orders.parquet").select(*rows.columns)
     assert orders.where("o_orderkey <= 1").count() > 0
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, orders.collect()))

@@ -5,6 +5,8 @@ Order is shown as a rank column, because results are compared as sets.
 
 from __future__ import annotations
 
+import gzip
+import json
 import re
 import tempfile
 import uuid
@@ -19,13 +21,14 @@ from tidemark.functions import scalars
 from tidemark.functions.distance import osa_column
 from tidemark.functions.text import display, natural_key, norm, trimmed
 from tidemark.operators import profile, suggest
-from tidemark.operators.annotations import RECORD_DDL, Label, TagStore
+from tidemark.operators.annotations import RECORD_DDL, InvalidExport, Label, TagStore, clean_ids, parse_export
+from tidemark.operators.grouping import sanitise
 from tidemark.operators.predicates import Scope
 from tidemark.operators.view import View
 from tidemark.plans import filters as lists
 from tidemark.plans.layout import Layout
 from tidemark.plans.nodes import NO_LABEL, TAG_COLUMN, Aggregation, Filter, Group, Node, Op, Predicate, Sort, all_of, any_of
-from tidemark.sources import export, inference
+from tidemark.sources import delimited, export, inference
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -75,14 +78,15 @@ def ranked(view: View, columns: Sequence[str], limit: int | None = None, offset:
     return page.withColumn("rank", F.row_number().over(Window.orderBy("__tm_at")).cast("long") + offset).drop("__tm_at")
 
 
-def ranked_all(spark: SparkSession, view: View, columns: Sequence[str]) -> DataFrame:
-    """Every row with its rank: written in sorted ranges, then numbered by place in a range and the rows of ranges before.
+def numbered_in_order(spark: SparkSession, df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Every row of a sorted result with its rank: written in sorted ranges, then numbered by place in a range and the rows
+    of ranges before.
 
     Written, because a range partitioning that is computed twice may cut elsewhere.
     """
     path = _scratch(spark, "ranked")
     # the high bits of the id are the range, the low 33 the place in it
-    view.df.select(*columns, F.monotonically_increasing_id().alias("__tm_at")).write.parquet(path)
+    df.select(*columns, F.monotonically_increasing_id().alias("__tm_at")).write.parquet(path)
     rows = spark.read.parquet(path).withColumn("__tm_range", F.shiftright("__tm_at", 33))
     sizes = sorted(tuple(r) for r in rows.groupBy("__tm_range").count().collect())  # a row for each range
     before = list(accumulate((n for _, n in sizes), initial=0))
@@ -91,6 +95,11 @@ def ranked_all(spark: SparkSession, view: View, columns: Sequence[str]) -> DataF
     return rows.join(F.broadcast(firsts), "__tm_range").select(*columns, (F.col("__tm_first") + place + 1).alias("rank"))
 
 
+def ranked_all(spark: SparkSession, view: View, columns: Sequence[str]) -> DataFrame:
+    """Every row of a view with its rank."""
+    return numbered_in_order(spark, view.df, columns)
+
+
 def P(column: str, op: str, value=None, value2=None, cs: bool = False, id: str | None = None) -> Predicate:  # noqa: N802, A002
     return Predicate(column, Op(op), value, value2, cs, id)
 
@@ -141,6 +150,10 @@ filtering("filter_grouped_eq", "orders", lists.compile_filters([Filter("o_orders
 filtering("filter_in_then_out", "orders", lists.compile_filters(lists.filter_out(lists.filter_in([Filter("o_orderstatus", "eq", "F")], "o_orderstatus", "O"), "o_orderpriority", "5-LOW")), ["o_orderkey"], "lower(o_orderstatus) = 'o' AND lower(o_orderpriority) <> '5-low'")
 
 
+filtering("filter_distribution_toggle", "orders", lists.compile_filters(lists.toggle_value(lists.toggle_value([Filter("o_orderstatus", "eq", "F")], "o_orderstatus", "O"), "o_orderstatus", "F")), ["o_orderkey"], "lower(o_orderstatus) = 'o'")
+filtering("filter_distribution_only", "orders", lists.compile_filters(lists.only_value([Filter("o_orderstatus", "eq", "F"), Filter("o_totalprice", "gt", 1000)], "o_orderstatus", "P")), ["o_orderkey"], "lower(o_orderstatus) = 'p' AND o_totalprice > 1000")
+
+
 @add("filter_bool_eq", "SELECT doc_id, quality = 1 AS good FROM labels WHERE quality = 1")
 def filter_bool_eq(spark, sf_dir):
     df = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("good"))
@@ -237,64 +250,37 @@ def _rank_sql(columns: str, source: str, order: str, limit: int, offset: int = 0
 _NATURAL = "CAST(regexp_extract({0}, '(\\d+)$') AS BIGINT)"
 
 
-@add("sort_num_desc_tiebreak", _rank_sql("p_partkey, p_size", "part", "p_size DESC, p_partkey", 200))
-def sort_num_desc_tiebreak(spark, sf_dir):
-    return ranked(dataset(spark, sf_dir, "part").view().sort([Sort("p_size", True)]), ["p_partkey", "p_size"], 200)
-
-
-@add("sort_multi", _rank_sql("o_orderkey", "orders", "o_orderpriority, o_totalprice DESC, o_orderkey", 300))
-def sort_multi(spark, sf_dir):
-    return ranked(dataset(spark, sf_dir, "orders").view().sort([Sort("o_orderpriority"), Sort("nowhere"), Sort("o_totalprice", True)]), ["o_orderkey"], 300)
-
-
-@add("sort_string_natural", _rank_sql("p_partkey, p_brand", "part", f"{_NATURAL.format('p_brand')}, p_partkey", 500))
-def sort_string_natural(spark, sf_dir):
-    return ranked(dataset(spark, sf_dir, "part").view().sort([Sort("p_brand")]), ["p_partkey", "p_brand"], 500)
-
-
-@add("sort_string_natural_desc", _rank_sql("n_nationkey, n_name", "nation", f"{_NATURAL.format('n_name')} DESC", 25))
-def sort_string_natural_desc(spark, sf_dir):
-    return ranked(dataset(spark, sf_dir, "nation").view().sort([Sort("n_name", True)]), ["n_nationkey", "n_name"], 25)
-
-
-@add("sort_null_rules", _rank_sql("event_id", _HOLES, "coalesce(even, false), coalesce(event_type, ''), coalesce(value, 0) DESC, event_id", 1500))
-def sort_null_rules(spark, sf_dir):
-    return ranked(holed(spark, sf_dir).view().sort([Sort("even"), Sort("event_type"), Sort("value", True)]), ["event_id"], 1500)
-
-
-@add("sort_datetime_nulls", f"{_rank_sql('event_id', _HOLES, 'ts DESC NULLS FIRST, event_id', 1500)} UNION ALL SELECT -event_id, rank FROM (SELECT *, row_number() OVER (ORDER BY ts ASC NULLS LAST, event_id) AS rank FROM {_HOLES}) WHERE rank > 300 AND rank <= 700")
-def sort_datetime_nulls(spark, sf_dir):
-    view = holed(spark, sf_dir).view()
-    up = ranked(view.sort([Sort("ts")]), ["event_id"], 400, 300).withColumn("event_id", -F.col("event_id"))
-    return ranked(view.sort([Sort("ts", True)]), ["event_id"], 1500).unionAll(up)
-
-
 def _rank_all_sql(columns: str, source: str, order: str) -> str:
     return f"SELECT {columns}, row_number() OVER (ORDER BY {order}) AS rank FROM {source}"
 
 
-@add("sort_num_desc_tiebreak_all", _rank_all_sql("p_partkey, p_size", "part", "p_size DESC, p_partkey"))
-def sort_num_desc_tiebreak_all(spark, sf_dir):
+@add("sort_num_desc_tiebreak", _rank_all_sql("p_partkey, p_size", "part", "p_size DESC, p_partkey"))
+def sort_num_desc_tiebreak(spark, sf_dir):
     return ranked_all(spark, dataset(spark, sf_dir, "part").view().sort([Sort("p_size", True)]), ["p_partkey", "p_size"])
 
 
-@add("sort_multi_all", _rank_all_sql("o_orderkey", "orders", "o_orderpriority, o_totalprice DESC, o_orderkey"))
-def sort_multi_all(spark, sf_dir):
+@add("sort_multi", _rank_all_sql("o_orderkey", "orders", "o_orderpriority, o_totalprice DESC, o_orderkey"))
+def sort_multi(spark, sf_dir):
     return ranked_all(spark, dataset(spark, sf_dir, "orders").view().sort([Sort("o_orderpriority"), Sort("nowhere"), Sort("o_totalprice", True)]), ["o_orderkey"])
 
 
-@add("sort_string_natural_all", _rank_all_sql("p_partkey, p_brand", "part", f"{_NATURAL.format('p_brand')}, p_partkey"))
-def sort_string_natural_all(spark, sf_dir):
+@add("sort_string_natural", _rank_all_sql("p_partkey, p_brand", "part", f"{_NATURAL.format('p_brand')}, p_partkey"))
+def sort_string_natural(spark, sf_dir):
     return ranked_all(spark, dataset(spark, sf_dir, "part").view().sort([Sort("p_brand")]), ["p_partkey", "p_brand"])
 
 
-@add("sort_null_rules_all", _rank_all_sql("event_id", _HOLES, "coalesce(even, false), coalesce(event_type, ''), coalesce(value, 0) DESC, event_id"))
-def sort_null_rules_all(spark, sf_dir):
+@add("sort_string_natural_desc", _rank_all_sql("n_nationkey, n_name", "nation", f"{_NATURAL.format('n_name')} DESC"))
+def sort_string_natural_desc(spark, sf_dir):
+    return ranked_all(spark, dataset(spark, sf_dir, "nation").view().sort([Sort("n_name", True)]), ["n_nationkey", "n_name"])
+
+
+@add("sort_null_rules", _rank_all_sql("event_id", _HOLES, "coalesce(even, false), coalesce(event_type, ''), coalesce(value, 0) DESC, event_id"))
+def sort_null_rules(spark, sf_dir):
     return ranked_all(spark, holed(spark, sf_dir).view().sort([Sort("even"), Sort("event_type"), Sort("value", True)]), ["event_id"])
 
 
-@add("sort_datetime_nulls_all", f"{_rank_all_sql('event_id', _HOLES, 'ts DESC NULLS FIRST, event_id')} UNION ALL {_rank_all_sql('-event_id', _HOLES, 'ts ASC NULLS LAST, event_id')}")
-def sort_datetime_nulls_all(spark, sf_dir):
+@add("sort_datetime_nulls", f"{_rank_all_sql('event_id', _HOLES, 'ts DESC NULLS FIRST, event_id')} UNION ALL {_rank_all_sql('-event_id', _HOLES, 'ts ASC NULLS LAST, event_id')}")
+def sort_datetime_nulls(spark, sf_dir):
     view = holed(spark, sf_dir).view()
     up = ranked_all(spark, view.sort([Sort("ts")]), ["event_id"]).withColumn("event_id", -F.col("event_id"))
     return ranked_all(spark, view.sort([Sort("ts", True)]), ["event_id"]).unionAll(up)
@@ -320,6 +306,11 @@ def page_to_end(spark, sf_dir):
     return dataset(spark, sf_dir, "region").view().window(2).select("r_regionkey")
 
 
+@add("page_rest_of_sorted_view", "SELECT o_orderkey, o_orderpriority FROM (SELECT *, row_number() OVER (ORDER BY o_orderpriority DESC, o_totalprice, o_orderkey) AS place FROM orders) WHERE place > 1234")
+def page_rest_of_sorted_view(spark, sf_dir):
+    return dataset(spark, sf_dir, "orders").view().sort([Sort("o_orderpriority", True), Sort("o_totalprice")]).window(1234).select("o_orderkey", "o_orderpriority")
+
+
 @add("top_k", _rank_sql("event_id, value", "events", "value DESC, event_id", 10))
 def top_k(spark, sf_dir):
     return ranked(dataset(spark, sf_dir, "events").view().sort([Sort("value", True)]), ["event_id", "value"], 10)
@@ -424,6 +415,18 @@ def group_order_of_text_sort(spark, sf_dir):
     return _group_page(dataset(spark, sf_dir, "events").view().sort([Sort("event_type", True), Sort("ts")]), 5, 30)
 
 
+@add("group_order_of_opposite_texts", "WITH o AS (SELECT *, row_number() OVER (ORDER BY o_orderpriority DESC, o_orderstatus, o_totalprice DESC, o_orderkey) AS place FROM orders) SELECT o_custkey, count(*)::BIGINT AS rows, row_number() OVER (ORDER BY min(place)) AS rank FROM o GROUP BY 1")
+def group_order_of_opposite_texts(spark, sf_dir):
+    view = dataset(spark, sf_dir, "orders").view().sort([Sort("o_orderpriority", True), Sort("o_orderstatus"), Sort("o_totalprice", True)])
+    return numbered_in_order(spark, view.group_by("o_custkey").df, ["o_custkey", "rows"])
+
+
+@add("group_sanitised", "SELECT o_orderstatus, round(sum(o_totalprice), 2) AS total, count(*)::BIGINT AS n, count(*)::BIGINT AS rows FROM orders GROUP BY 1")
+def group_sanitised(spark, sf_dir):
+    asked = sanitise([Aggregation("sum", "o_totalprice", " total "), Aggregation("avg", None, "mean"), Aggregation("count", "o_custkey", "n")])
+    return dataset(spark, sf_dir, "orders").view().group_by("o_orderstatus", asked).df.withColumn("total", F.round("total", 2))
+
+
 @add("group_over_filtered_view", "SELECT event_type, round(avg(value), 6) AS mean, max(value) AS most, count(*)::BIGINT AS rows FROM events WHERE value BETWEEN 10 AND 200 AND lower(event_type) <> 'view' AND contains(CAST(user_id AS VARCHAR), '1') GROUP BY 1")
 def group_over_filtered_view(spark, sf_dir):
     view = dataset(spark, sf_dir, "events").view().filter(all_of(P("value", "between", 10, 200), P("event_type", "neq", "VIEW"))).search("1", ["user_id"])
@@ -513,13 +516,8 @@ def osa_pairs(spark, sf_dir):
 
 
 # --- functions ----------------------------------------------------------------------------------------------------------------
-@add("fn_norm", r"SELECT doc_id, lower(nfc_normalize(trim(substr(text, 1, 60), ' ' || chr(9) || chr(10) || chr(13)))) AS n FROM documents")
+@add("fn_norm", r"SELECT doc_id, length(n)::INT AS n_chars, md5(n) AS digest FROM (SELECT doc_id, lower(nfc_normalize(trim(text, ' ' || chr(9) || chr(10) || chr(13)))) AS n FROM documents)")
 def fn_norm(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", norm(F.substring("text", 1, 60), composed=False).alias("n"))
-
-
-@add("fn_norm_whole", r"SELECT doc_id, length(n)::INT AS n_chars, md5(n) AS digest FROM (SELECT doc_id, lower(nfc_normalize(trim(text, ' ' || chr(9) || chr(10) || chr(13)))) AS n FROM documents)")
-def fn_norm_whole(spark, sf_dir):
     n = table(spark, sf_dir, "documents").select("doc_id", norm(F.col("text"), composed=False).alias("n"))
     return n.select("doc_id", F.char_length("n").alias("n_chars"), F.md5("n").alias("digest"))
 
@@ -586,6 +584,18 @@ tag_filter("tags_filter_other_op", P(TAG_COLUMN, "contains", "toxic"), "false")
 tag_filter("tags_filter_in_tree", all_of(any_of(P(TAG_COLUMN, "eq", "bad"), P("lang", "eq", "FR")), P("n_chars", "gt", 500)), "(coalesce(list_contains(label_ids, 'bad'), false) OR lower(lang) = 'fr') AND n_chars > 500")
 
 
+def label_list_filter(name: str, rewrite, where: str) -> None:
+    def run(spark, sf_dir):
+        return tagged(spark, sf_dir).view().filter(lists.compile_filters(rewrite([Filter("lang", "eq", "en"), Filter(TAG_COLUMN, "eq", "good")]))).unsorted.select("doc_id")
+
+    add(name, f"SELECT doc_id FROM documents LEFT JOIN {_TAGS} t ON doc_id = t.row_id WHERE lower(lang) = 'en' AND {where}")(run)
+
+
+label_list_filter("tags_show_only_label", lambda fs: lists.show_only_label(fs, "bad"), "coalesce(list_contains(label_ids, 'bad'), false)")
+label_list_filter("tags_exclude_label", lambda fs: lists.exclude_label(lists.clear_labels(fs), "toxic"), "NOT coalesce(list_contains(label_ids, 'toxic'), false)")
+label_list_filter("tags_clear_label_filters", lists.clear_labels, "true")
+
+
 @add("tags_join_cells", f"SELECT doc_id, array_to_string(list_transform(label_ids, lambda i: CASE i WHEN 'good' THEN 'Good' WHEN 'bad' THEN 'Bad' ELSE 'Toxic' END), ',') AS names, t.note AS note FROM documents LEFT JOIN {_TAGS} t ON doc_id = t.row_id")
 def tags_join_cells(spark, sf_dir):
     df = tagged(spark, sf_dir).with_tag_cells()
@@ -650,6 +660,44 @@ def labels_default(spark, sf_dir):
     return spark.createDataFrame([(len(names), names[0], names[-1])], "n long, first string, last string")
 
 
+@add("tag_upsert_label", "SELECT * FROM (VALUES ('good', 'Fine', '#8899ff', 1::BIGINT), ('bad', 'Bad', '#aa0000', 0), ('toxic', 'Toxic', '#550055', 0), ('new', 'Untitled label', '#123456', 7)) t(id, name, color, created_at)")
+def tag_upsert_label(spark, sf_dir):
+    store = TagStore.of((Label("good", "Good", "#00aa00", created_at=1), *_CATALOG[1:]), tags(spark, sf_dir).records)
+    store = store.upsert_label(Label("good", " Fine ", "  "), now=7).upsert_label(Label("new", " ", "#123456"), now=7)
+    return spark.createDataFrame([(x.id, x.name, x.color, x.created_at) for x in store.labels], "id string, name string, color string, created_at long")
+
+
+@add("tag_export_round_trip", f"SELECT row_id, label_ids, note FROM {_TAGS}")
+def tag_export_round_trip(spark, sf_dir):
+    return shown(TagStore.empty(spark, ()).import_(json.dumps(tags(spark, sf_dir).export(now=5)), "replace"))
+
+
+@add("tag_import_validation", "SELECT * FROM (VALUES (0, true), (1, true), (2, false), (3, false), (4, false), (5, true)) t(k, valid)")
+def tag_import_validation(spark, sf_dir):
+    snapshot = {"labels": [{"id": "a", "name": "A", "color": "#fff"}], "tags": {"1": {"labelIds": ["a"]}, "2": None}}
+    given = [{"version": 1, "exportedAt": 0, "payload": snapshot}, snapshot, {"version": 2, "payload": snapshot}, {"labels": [{}], "tags": {}}, "no json", json.dumps(snapshot)]
+
+    def valid(x) -> bool:
+        try:
+            parse_export(x, 0)
+        except InvalidExport:
+            return False
+        return True
+
+    return spark.createDataFrame([(k, valid(x)) for k, x in enumerate(given)], "k int, valid boolean")
+
+
+@add("tag_clean_ids", "SELECT ['a', 'b', 'c'] AS ids")
+def tag_clean_ids(spark, sf_dir):
+    return spark.createDataFrame([(clean_ids([" a", "b", "a ", "", None, 3, "c"]),)], "ids array<string>")
+
+
+@add("layout_order", "SELECT c_mktsegment, c_custkey, c_name, c_nationkey, c_acctbal FROM customer")
+def layout_order(spark, sf_dir):
+    df = table(spark, sf_dir, "customer")
+    return df.select(*Layout(("c_mktsegment", "gone", "c_custkey")).visible(df.columns))
+
+
 # --- text in and out ---------------------------------------------------------------------------------------------------------------
 @add("infer_types", """SELECT * FROM (VALUES ('n_nationkey', 'number', 0::BIGINT), ('n_name', 'string', 0::BIGINT), ('when', 'datetime', 0::BIGINT), ('flag', 'boolean', 0::BIGINT), ('holes', 'number', 13::BIGINT)) t("column", type, nulls)""")
 def infer_types(spark, sf_dir):
@@ -667,16 +715,8 @@ def _as_text(df: DataFrame) -> DataFrame:
     return export.as_text(df)
 
 
-@add("infer_all_rows", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders WHERE o_orderkey > 1")
+@add("infer_all_rows", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
 def infer_all_rows(spark, sf_dir):
-    df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
-    text = _as_text(df)
-    back = inference.typed(text, inference.infer(text), lenient=True)
-    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_totalprice", F.col("o_orderdate").cast("timestamp_ntz").alias("o_orderdate")).where("o_orderkey > 1")
-
-
-@add("infer_every_row", "SELECT o_orderkey, o_totalprice, o_orderdate FROM orders")
-def infer_every_row(spark, sf_dir):
     df = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderdate")
     text = _as_text(df)
     back = inference.typed(text, inference.infer(text), lenient=True)
@@ -730,6 +770,47 @@ def csv_strict_pages(spark, sf_dir):
     return back.select((F.col("page_id") - 100_000).cast("long").alias("page_id"), F.md5("html").alias("h"), "__rowId")
 
 
+# A small file with all that the strict rules are about, over and over; {k} is the repetition.
+_STRICT_BIT = 'x{k},  two ,mid"quo,"te\r\n\n"a ""q""\nb{k}",,1,more\rlone{k},2,3\r\n'
+
+
+def _written(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of these bytes that the whole cluster can read."""
+    path = _scratch(spark, "written") + f"/{name}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
+_STRICT_SQL = """WITH k AS (SELECT unnest(range(0, 200)) AS k) SELECT k * 4 + i AS __rowId, a, b, c FROM k, LATERAL (VALUES (0, 'x' || k, '  two ', 'midquo,te'), (1, '', '', ''), (2, 'a "q"' || chr(10) || 'b' || k, '', '1'), (3, 'lone' || k, '2', '3')) t(i, a, b, c)"""
+
+
+@add("csv_strict_rules", _STRICT_SQL)
+def csv_strict_rules(spark, sf_dir):
+    """Blank lines, quotes anywhere, lone CRs, untrimmed cells, a byte order mark, rows too short and too long."""
+    text = "\ufeffa,b,c\n" + "".join(_STRICT_BIT.format(k=k) for k in range(200))
+    return delimited.read_text(spark, _written(spark, "strict.csv", text.encode())).df
+
+
+@add("csv_gzip_members", _STRICT_SQL)
+def csv_gzip_members(spark, sf_dir):
+    """A gzip file of several members, one of them empty, cut inside cells."""
+    text = ("a,b,c\n" + "".join(_STRICT_BIT.format(k=k) for k in range(200))).encode()
+    cuts = [0, 100, 100, 3333, len(text)]
+    return delimited.read_text(spark, _written(spark, "members.csv.gz", b"".join(gzip.compress(text[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)))).df
+
+
+@add("csv_detected_delimiters", "SELECT * FROM (VALUES ('a,b;c,d', ','), ('a' || chr(9) || 'b', chr(9)), ('a;b', ';'), ('\"a,b\";c', ';'), ('abc', ',')) t(head, delimiter)")
+def csv_detected_delimiters(spark, sf_dir):
+    heads = ["a,b;c,d", "a\tb", "a;b", '"a,b";c', "abc"]
+    return spark.createDataFrame([(h, delimited.detect_delimiter(h)) for h in heads], "head string, delimiter string")
+
+
 @add("export_csv_text", """SELECT '"' || r_regionkey || '","' || replace(r_name, '"', '""') || '"' AS line FROM region""")
 def export_csv_text(spark, sf_dir):
     df = table(spark, sf_dir, "region")
