@@ -37,6 +37,23 @@ def test_sessions(tmp_path):
     assert len(list((tmp_path / "s").glob("history-*.json"))) == 1
 
 
+def test_sessions_on_a_shared_file_system(spark, tmp_path):
+    from tidemark.sources.sidefiles import SharedFiles
+
+    files, url = SharedFiles(spark), f"file://{tmp_path}/s"
+    folder = session.SessionFolder(url, files)
+    assert folder.load() is None and files.names(url) == []
+    states = [session.SessionState(search=f"é{k}") for k in range(5)]
+    for k, state in enumerate(states):
+        folder.save(state, now=1000.0 + k)
+    assert folder.load() == states[-1] and len(files.names(url)) == 4
+    assert session.SessionFolder(tmp_path / "s").load() == states[-1]
+    (tmp_path / "s" / "latest.json").write_text("{broken")
+    assert folder.load() == states[-1]
+    files.remove(f"{url}/latest.json")
+    assert files.read(f"{url}/latest.json") is None and files.size(url) > 0
+
+
 def test_quota():
     entries = [("s", "sessions", 50, 1), ("c1", "row-cache", 80, 9), ("c2", "row-cache", 80, 3), ("a", "annotations", 50, 0)]
     assert session.over_quota(entries, 260) == [] and session.over_quota(entries, 200) == ["c2"] and session.over_quota(entries, 60) == ["c2", "c1", "a"]

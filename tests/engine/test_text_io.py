@@ -173,6 +173,42 @@ def test_stream(spark, tmp_path):
     assert column("a`b") is not None
 
 
+def ended(calls, seconds=20):
+    import time
+
+    until = time.monotonic() + seconds
+    while not calls and time.monotonic() < until:
+        time.sleep(0.05)
+    return calls
+
+
+def test_load_tells_its_start_end_and_errors(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.csv").write_text("n,s\n1.5,x\n2.5,y\n")
+    columns = [inference.Inferred("n", Kind.NUMBER, 1.0, 2, 0), inference.Inferred("s", Kind.STRING, 1.0, 2, 0)]
+    rows = ingest.stream_csv(spark, str(tmp_path / "in"), columns)
+    started, seen, whole, errors = [], [], [], []
+    ingest.load_progressively(rows, str(tmp_path / "out"), str(tmp_path / "cp"), seen.append, True, started.append, whole.append, errors.append).awaitTermination()
+    (summary,) = ended(whole)
+    assert started == [["n", "s"]] and errors == []
+    assert (summary.rows, summary.batches, summary.types) == (2, 1, {"n": Kind.NUMBER, "s": Kind.STRING})
+    assert summary.bytes == seen[0].bytes > 0 and summary.seconds > 0
+
+    def fail(progress):
+        raise ValueError("no room")
+
+    query = ingest.load_progressively(rows, str(tmp_path / "out2"), str(tmp_path / "cp2"), fail, on_complete=whole.append, on_error=errors.append)
+    with pytest.raises(Exception, match="no room"):
+        query.awaitTermination()
+    assert "no room" in ended(errors)[0] and len(whole) == 1
+
+
+def test_ping(spark):
+    from tidemark.dataset import ping
+
+    assert ping(spark) == "pong"
+
+
 @pytest.mark.parametrize("name", ["m.csv.gz", "m.csv.gzip"])
 def test_gzip_files_of_several_members(spark, tmp_path, name):
     members = [gzip.compress(x.encode()) for x in ('a,b\n1,"x\n', 'y"\n2,z\n', "", "3,w\n" * 5000)]

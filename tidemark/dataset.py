@@ -25,6 +25,11 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     return builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
 
 
+def ping(spark: SparkSession) -> str:
+    """``pong`` once an executor has answered; an error if none does."""
+    return spark.range(1, numPartitions=1).select(F.lit("pong").alias("answer")).collect()[0].answer
+
+
 @dataclass(frozen=True)
 class Dataset:
     """One table. ``row_id`` names a column that is unique and rises in the order of rows."""

@@ -7,7 +7,6 @@ without labels and note does not exist. Each change gives a new store.
 from __future__ import annotations
 
 import json
-import os
 import time
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
@@ -17,6 +16,8 @@ from typing import Any
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.sources.sidefiles import SharedFiles
+
 DEFAULT_COLOR = "#8899ff"
 EXPORT_VERSION = 1
 RECORD_DDL = "row_id long, label_ids array<string>, note string, updated_at long"
@@ -187,20 +188,14 @@ class TagStore:
         return self.import_records(labels, self.records.sparkSession.createDataFrame(rows, RECORD_DDL), strategy)
 
     def save(self, path: str, now: int | None = None) -> None:
-        """The envelope as a JSON file, through a draft that takes its place at once."""
-        draft = f"{path}.tmp"
-        with open(draft, "w", encoding="utf-8") as f:
-            json.dump(self.export(now=now), f, ensure_ascii=False)
-        os.replace(draft, path)
+        """The envelope as a JSON file on the file system that the cluster shares; see :class:`SharedFiles`."""
+        SharedFiles(self.records.sparkSession).write(path, json.dumps(self.export(now=now), ensure_ascii=False))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "TagStore":
         """A saved store; without a file one with the default catalogue."""
-        try:
-            with open(path, encoding="utf-8") as f:
-                return cls.empty(spark, ()).import_(json.load(f), "replace")
-        except FileNotFoundError:
-            return cls.empty(spark)
+        text = SharedFiles(spark).read(path)
+        return cls.empty(spark) if text is None else cls.empty(spark, ()).import_(text, "replace")
 
     # --- reading ------------------------------------------------------------------------------------------------
     def label_names(self) -> dict[str, str]:

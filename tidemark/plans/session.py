@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import re
 import time
 from dataclasses import asdict, dataclass, field
@@ -12,6 +11,7 @@ from typing import Any
 
 from tidemark.plans.layout import Layout
 from tidemark.plans.nodes import Aggregation, Filter, Op, Sort
+from tidemark.sources.sidefiles import LocalFiles, SharedFiles
 
 VERSION = 1
 HISTORY = 3
@@ -61,29 +61,36 @@ class SessionState:
 
 
 class SessionFolder:
-    """``latest.json`` and the newest history files of one dataset; older than the retention are dropped."""
+    """``latest.json`` and the newest history files of one dataset; older than the retention are dropped.
 
-    def __init__(self, folder: str | Path):
-        self.folder = Path(folder)
+    ``files`` is the driver's disk, or with ``SharedFiles(spark)`` the file system of the cluster.
+    """
+
+    def __init__(self, folder: str | Path, files: LocalFiles | SharedFiles | None = None):
+        self.folder = str(folder)
+        self.files = files or LocalFiles()
+
+    def _history(self) -> list[str]:
+        return [n for n in self.files.names(self.folder) if n.startswith("history-") and n.endswith(".json")]
 
     def save(self, state: SessionState, now: float | None = None) -> None:
         now = time.time() if now is None else now
-        self.folder.mkdir(parents=True, exist_ok=True)
         text = state.to_json()
-        for target in (self.folder / f"history-{int(now * 1000):015d}.json", self.folder / "latest.json"):
-            draft = target.with_suffix(".tmp")
-            draft.write_text(text, encoding="utf-8")
-            os.replace(draft, target)
-        history = sorted(self.folder.glob("history-*.json"))
+        for name in (f"history-{int(now * 1000):015d}.json", "latest.json"):
+            self.files.write(f"{self.folder}/{name}", text)
+        history = self._history()
         for old in history:
-            if old in history[:-HISTORY] or now - int(old.stem.removeprefix("history-")) / 1000 > RETENTION_S:
-                old.unlink()
+            made = int(old.removeprefix("history-").removesuffix(".json")) / 1000
+            if old in history[:-HISTORY] or now - made > RETENTION_S:
+                self.files.remove(f"{self.folder}/{old}")
 
     def load(self) -> SessionState | None:
         """The latest state that can be read."""
-        for path in (self.folder / "latest.json", *sorted(self.folder.glob("history-*.json"), reverse=True)):
+        for name in ("latest.json", *reversed(self._history())):
             try:
-                return SessionState.from_json(path.read_text(encoding="utf-8"))
+                text = self.files.read(f"{self.folder}/{name}")
+                if text is not None:
+                    return SessionState.from_json(text)
             except (OSError, ValueError, KeyError, TypeError):
                 continue
         return None

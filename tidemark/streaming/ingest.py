@@ -2,23 +2,64 @@
 
 from __future__ import annotations
 
+import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.listener import StreamingQueryListener
 
+from tidemark.functions.text import kind_of
 from tidemark.operators.predicates import Scope, column, compile_node
-from tidemark.plans.nodes import Node
+from tidemark.plans.nodes import Kind, Node
 from tidemark.sources.inference import Inferred, typed
+from tidemark.sources.sidefiles import SharedFiles
 
 
 @dataclass(frozen=True)
 class Progress:
+    """``bytes`` is the size of the batch as stored."""
+
     batch: int
     rows: int
     total_rows: int
+    bytes: int
+
+
+@dataclass(frozen=True)
+class Summary:
+    """Of one run; ``types`` are the columns' logical types."""
+
+    rows: int
+    bytes: int
+    batches: int
+    seconds: float
+    types: dict[str, Kind]
+
+
+class _End(StreamingQueryListener):
+    """Calls ``done`` with the error's text, or None, when the query of that name ends, and then stops listening."""
+
+    def __init__(self, spark: SparkSession, name: str, done: Callable[[str | None], None]):
+        self.spark, self.name, self.done, self.run = spark, name, done, None
+
+    def onQueryStarted(self, event) -> None:  # within start(), so before the end
+        if event.name == self.name:
+            self.run = event.runId
+
+    def onQueryProgress(self, event) -> None:
+        pass
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        if self.run is not None and event.runId == self.run:
+            self.spark.streams.removeListener(self)
+            self.done(event.exception)
 
 
 def stream_csv(spark: SparkSession, folder: str, columns: Sequence[Inferred], delimiter: str = ",", lenient: bool = False, files_per_batch: int = 16) -> DataFrame:
@@ -42,16 +83,46 @@ def windowed_counts(df: DataFrame, time: str, keys: Sequence[str] = (), width: s
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), *map(column, keys), "rows")
 
 
-def load_progressively(df: DataFrame, target: str, checkpoint: str, on_progress: Callable[[Progress], None] | None = None, available_now: bool = True) -> StreamingQuery:
-    """Append each batch to a Parquet table and report it. A batch that is tried again replaces its own files."""
-    state = {"total": 0}
+def load_progressively(
+    df: DataFrame,
+    target: str,
+    checkpoint: str,
+    on_progress: Callable[[Progress], None] | None = None,
+    available_now: bool = True,
+    on_start: Callable[[list[str]], None] | None = None,
+    on_complete: Callable[[Summary], None] | None = None,
+    on_error: Callable[[str], None] | None = None,
+) -> StreamingQuery:
+    """Append each batch to a Parquet table and report it. A batch that is tried again replaces its own files.
+
+    ``on_start`` gets the columns before anything is read; at the end ``on_complete`` gets the summary of this run or
+    ``on_error`` the error's text, from Spark's listener and so perhaps a moment after ``awaitTermination`` returns.
+    """
+    spark = df.sparkSession
+    files = SharedFiles(spark)
+    total = {"rows": 0, "bytes": 0, "batches": 0}
+    began = time.monotonic()
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
-        rows = batch.sparkSession.read.parquet(f"{target}/batch={number}").count()
-        state["total"] += rows
+        place = f"{target}/batch={number}"
+        batch.write.mode("overwrite").parquet(place)
+        made = Progress(number, rows := batch.sparkSession.read.parquet(place).count(), total["rows"] + rows, files.size(place))
+        total.update(rows=made.total_rows, bytes=total["bytes"] + made.bytes, batches=total["batches"] + 1)
         if on_progress:
-            on_progress(Progress(number, rows, state["total"]))
+            on_progress(made)
+
+    def done(error: str | None) -> None:
+        if error is not None and on_error:
+            on_error(error)
+        elif error is None and on_complete:
+            types = {f.name: kind_of(f.dataType) for f in df.schema}
+            on_complete(Summary(total["rows"], total["bytes"], total["batches"], time.monotonic() - began, types))
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    if on_complete or on_error:
+        name = f"load-{uuid.uuid4().hex}"
+        writer = writer.queryName(name)
+        spark.streams.addListener(_End(spark, name, done))
+    if on_start:
+        on_start(list(df.columns))
     return (writer.trigger(availableNow=True) if available_now else writer).start()
