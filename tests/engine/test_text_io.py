@@ -255,3 +255,40 @@ def test_header_longer_than_the_first_look(spark, tmp_path):
     names = [f"column_{k}_{'x' * 40}" for k in range(3000)]
     (tmp_path / "wide.csv").write_text(",".join(names) + "\n" + ",".join(map(str, range(3000))) + "\n")
     assert d.read_text(spark, str(tmp_path / "wide.csv")).columns == names
+
+
+PLAIN = {
+    "whole": ["12", "7", "-3", "+4", "99", "30", "41", "66", "72", "81", "500", "1996", "64", "0", "1", ""],
+    "decimal": ["1.5", ".5", "2.", "-0.25", "1e3", "7.25", "1.125", "0.1", "-9.75", "", "0"],
+    "date": ["1996-03-13", "2024-02-29", "", "0999-12-31"],
+    "time": ["1996-03-13T10:00:00Z", "2024-02-29 23:59:59.5Z", ""],
+    "local": ["1996-03-13T10:00:00", "2024-02-29 23:59:59.123456", "2024-01-01", ""],
+}
+ODD = [" 8 ", "0x1F", "1e400", "NaN", "inf", "1700000000", "1700000000123", "-1700000000", "2023-02-30", "1996-03-13T25:00:00", "1996", "1996-03", "Mar 5 2021", "3/4/2020", "true", "n/a", "1_0", "٣", "1 2", "５", "1d", "2024-01-01T10:00:00+02:00", "2024-01-01T10:00:00.123456789Z", " 5"]
+
+
+@pytest.mark.parametrize("lenient", [False, True])
+@pytest.mark.parametrize("odd", [0.0, 0.02, 0.5])
+def test_plain_columns_are_read_as_the_rules_read_them(spark, tmp_path, odd, lenient):
+    import random
+
+    rng = random.Random(int(odd * 100))
+    cell = lambda name: rng.choice(ODD if rng.random() < odd else PLAIN[name])
+    lines = [",".join(f'"{cell(n)}\n"' if rng.random() < odd / 9 else cell(n) for n in PLAIN) for _ in range(600)]
+    (tmp_path / "p.csv").write_text(",".join(PLAIN) + "\n" + "\n".join(lines) + "\n", encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        raw = d.read_text(spark, str(tmp_path / "p.csv"))
+        found = inference.infer(raw.plain, raw.columns)
+        loaded = d.read_typed(spark, str(tmp_path / "p.csv"), lenient)
+        assert loaded.inferred == found and loaded.rows == 600
+        want = inference.typed(raw.df, found, lenient)
+        assert loaded.df.schema == want.schema
+        assert sorted(map(tuple, loaded.df.collect()), key=lambda r: r[0]) == sorted(map(tuple, want.collect()), key=lambda r: r[0])
+        if not odd:
+            assert [str(f.kind) for f in found] == ["number", "number", "datetime", "datetime", "datetime"]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", old[1])

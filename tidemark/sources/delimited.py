@@ -17,7 +17,7 @@ from __future__ import annotations
 import codecs
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import accumulate
 
@@ -29,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.predicates import column
-from tidemark.sources.inference import Inferred, infer, typed
+from tidemark.plans.nodes import Kind
+from tidemark.sources import plaincells
+from tidemark.sources.inference import Inferred, infer, infer_counted, typed
 from tidemark.sources.rowid import BROADCAST_SPLITS, numbered, scan_with_row_ids
 
 DELIMITERS = (",", "\t", ";")
@@ -185,6 +187,8 @@ class Raw:
     plain: DataFrame
     columns: list[str]
     delimiter: str
+    #: Makes the rows of a step over Arrow batches of the row id and c0, c1, ..., within the tasks that parse, if it can.
+    each: Callable[[plaincells.Step, str], DataFrame] | None = None
 
 
 def _strict_rows(columns: int, delimiter: str, encoding: str):
@@ -226,12 +230,13 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
     reader split large files, for data without line ends inside quotes.
     """
     head = _head(spark, path, encoding)
-    delimiter = delimiter or detect_delimiter(head)
+    delimiter, each = delimiter or detect_delimiter(head), None
     names = header_names(next(records([head], delimiter), []))
     if not names:
         raise ValueError(f"{path} has no header")
     if strict and encoding.lower().replace("_", "-") in ("utf-8", "utf8", "us-ascii", "ascii") and not any(is_gzip(f) and not f.endswith(".gz") for f in _files(spark, path)):
-        rows = placed = _strict_splits(spark, path, len(names), delimiter, row_id)
+        each = _strict_splits(spark, path, len(names), delimiter, row_id)
+        rows = placed = each(None, None)
     elif strict:
         kind = ", ".join(["__tm_file string", "__tm_place long", *(f"c{k} string" for k in range(len(names)))])
         rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_strict_rows(len(names), delimiter, encoding), kind)
@@ -241,7 +246,7 @@ def read_text(spark: SparkSession, path: str, delimiter: str | None = None, enco
         rows = spark.read.schema(schema).csv(path, header=True, sep=delimiter, quote='"', escape='"', mode="PERMISSIVE", encoding=encoding, multiLine=multiline, enforceSchema=True, nullValue="\u0000", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
         placed = scan_with_row_ids(rows, row_id)
     cells = [(F.col(f"c{k}") if strict else F.coalesce(F.col(f"c{k}"), F.lit(""))).alias(n) for k, n in enumerate(names)]
-    return Raw(placed.select(column(row_id), *cells), rows.select(*cells), names, delimiter)
+    return Raw(placed.select(column(row_id), *cells), rows.select(*cells), names, delimiter, each)
 
 
 # --- splits -----------------------------------------------------------------------------------------------------------
@@ -390,8 +395,8 @@ def parse_chunk(data: bytes, columns: int, delimiter: str) -> list[pa.Array]:
     return [pa.array([r[k] for r in rows], pa.string()) for k in range(columns)]
 
 
-def _split_rows(splits, columns: int, delimiter: str, row_id: str):
-    """Lines of splits, in order, to their complete records, numbered."""
+def _split_rows(splits, columns: int, delimiter: str, row_id: str, step: plaincells.Step | None):
+    """Lines of splits, in order, to their complete records, numbered, and what ``step`` makes of them."""
 
     def batch(first: int, cells: list[pa.Array], skip: int) -> pa.RecordBatch:
         cells = [c[skip:] for c in cells]
@@ -416,7 +421,8 @@ def _split_rows(splits, columns: int, delimiter: str, row_id: str):
             whole, head, held = [*held, lines[begin:end]], False, [lines[end:]] if end < len(lines) else []
             if sum(map(len, whole)):
                 cells = parse_chunk(_joined_lines(whole).to_pybytes() + b"\n", columns, delimiter)
-                yield batch(at, cells, skip)
+                made = batch(at, cells, skip)
+                yield step(made) if step else made
                 at += len(cells[0]) - skip
                 skip = 0
 
@@ -450,8 +456,8 @@ def _joined(columns: int, delimiter: str):
     return run
 
 
-def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str, row_id: str) -> DataFrame:
-    """Numbered rows of all splits; what goes to the driver and back is one row of five numbers for each split."""
+def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str, row_id: str) -> Callable[[plaincells.Step | None, str | None], DataFrame]:
+    """Numbered rows of all splits, or what a step makes of them in rows of the given kind; what goes to the driver and back is one row of five numbers for each split."""
     place = F.xxhash64(F.col("_metadata.file_path")).alias("file")
     order = {h: k for k, (_, h) in enumerate(sorted(tuple(r) for r in spark.read.format("binaryFile").load(path).select("_metadata.file_path", place).collect()))}
     lines = spark.read.option("lineSep", "\n").text(path).select(place, F.col("_metadata.file_block_start").alias("block"), "value")
@@ -482,12 +488,19 @@ def _strict_splits(spark: SparkSession, path: str, columns: int, delimiter: str,
         joined = pieces.mapInArrow(_joined(columns, delimiter), f"split long, place long, {cells}")
         across = dict(joined.groupBy("split").count().collect())
     bases = list(accumulate((n + across.get(k, 0) for k, (_, n, _) in enumerate(known)), initial=0))[:-1]
-    rows = lines.mapInArrow(_split_rows(table(bases), columns, delimiter, row_id), f"`{row_id}` long, {cells}")
+    own, rest = table(bases), None
     if across:
         after = spark.createDataFrame([(k, bases[k] + known[k][1]) for k in sorted(across)], "split long, after long")
         after = F.broadcast(after) if len(across) <= BROADCAST_SPLITS else after
-        rows = rows.unionAll(joined.join(after, "split").select((F.col("after") + F.col("place")).alias(row_id), *(f"c{k}" for k in range(columns))))
-    return rows
+        rest = joined.join(after, "split").select((F.col("after") + F.col("place")).alias(row_id), *(f"c{k}" for k in range(columns)))
+
+    def each(step: plaincells.Step | None, kind: str | None) -> DataFrame:
+        rows = lines.mapInArrow(_split_rows(own, columns, delimiter, row_id, step), kind or f"`{row_id}` long, {cells}")
+        if rest is None:
+            return rows
+        return rows.unionAll(rest.mapInArrow(plaincells.over(step), kind) if step else rest)
+
+    return each
 
 
 @dataclass(frozen=True)
@@ -503,5 +516,16 @@ class Loaded:
 def read_typed(spark: SparkSession, path: str, lenient: bool = False, **options) -> Loaded:
     """:func:`read_text`, then types inferred from all rows in one pass and one projection to them."""
     raw = read_text(spark, path, **options)
-    found = infer(raw.plain, raw.columns)
-    return Loaded(typed(raw.df, found, lenient), found, found[0].rows if found else 0, raw.delimiter)
+    if raw.each is None:
+        found = infer(raw.plain, raw.columns)
+        return Loaded(typed(raw.df, found, lenient), found, found[0].rows if found else 0, raw.delimiter)
+    utc = spark.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "GMT", "Z")
+    found = infer_counted(raw.each(plaincells.summary(len(raw.columns), utc), plaincells.SUMMARY_DDL), raw.columns)
+    kinds = {k: f.kind for k, f in enumerate(found) if f.kind in (Kind.NUMBER, Kind.DATETIME)}
+    row_id = raw.df.columns[0]
+    written = {Kind.NUMBER: "double", Kind.DATETIME: "timestamp"}
+    ddl = ", ".join([f"`{row_id}` long", *(f"c{k} string" for k in range(len(found))), *(f"v{k} {written[kind]}" for k, kind in kinds.items())])
+    rows = raw.each(plaincells.values(kinds, lenient, utc), ddl)
+    read = {raw.columns[k]: f"__tm_v{k}" for k in kinds}
+    rows = rows.select(column(row_id), *(F.col(f"c{k}").alias(c) for k, c in enumerate(raw.columns)), *(F.col(f"v{k}").alias(f"__tm_v{k}") for k in kinds))
+    return Loaded(typed(rows, found, lenient, read), found, found[0].rows if found else 0, raw.delimiter)

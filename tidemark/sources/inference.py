@@ -103,7 +103,12 @@ def kinds(df: DataFrame, columns: list[str]) -> DataFrame:
     """(place, kind, moment) of every cell of the columns, which are text: one narrow row for each, so that one small
     expression, compiled once, looks at all columns."""
     cells = df.select(F.posexplode(F.array(*(F.coalesce(column(c), F.lit("")) for c in columns))).alias("place", "text"))
-    cells = cells.select("place", trimmed(F.col("text")).alias("t"))
+    return _kinds_of(cells).select("place", "kind", F.col("date").alias("moment"))
+
+
+def _kinds_of(cells: DataFrame) -> DataFrame:
+    """``kind`` and ``date`` of the column ``text``, beside all other columns."""
+    cells = cells.withColumn("t", trimmed(F.col("text")))
     t = F.col("t")
     cells = cells.withColumn("decimal", _looks_numeric(t) & t.rlike(_DECIMAL)).withColumn("word", _is_boolean(t))
     decimal, word = F.col("decimal"), F.col("word")
@@ -116,7 +121,7 @@ def kinds(df: DataFrame, columns: list[str]) -> DataFrame:
         .when(number, str(Kind.NUMBER))
         .otherwise(str(Kind.STRING))
     )
-    return cells.select("place", kind.alias("kind"), F.col("date").alias("moment"))
+    return cells.withColumn("kind", kind)
 
 
 @dataclass(frozen=True)
@@ -145,7 +150,18 @@ def decide(counts: dict[Kind, int]) -> tuple[Kind, float]:
 def infer(df: DataFrame, columns: list[str] | None = None) -> list[Inferred]:
     """Types of text columns from all their rows, in one pass."""
     columns = list(df.columns if columns is None else columns)
-    found = kinds(df, columns).groupBy("place", "kind").agg(F.count(F.lit(1)).alias("n"), F.unix_millis(F.min("moment")).alias("lo"), F.unix_millis(F.max("moment")).alias("hi")).collect()
+    return _decided(kinds(df, columns).select("place", "kind", F.lit(1).alias("n"), F.col("moment").alias("lo"), F.col("moment").alias("hi")), columns)
+
+
+def infer_counted(counted: DataFrame, columns: list[str]) -> list[Inferred]:
+    """The same from counts of plain columns and of different texts (:func:`plaincells.summary`)."""
+    cells = _kinds_of(counted.withColumnRenamed("kind", "known"))
+    kind = F.when(F.col("text").isNull(), F.col("known")).otherwise(F.col("kind"))
+    return _decided(cells.select("place", kind.alias("kind"), "n", F.coalesce("lo", "date").alias("lo"), F.coalesce("hi", "date").alias("hi")), columns)
+
+
+def _decided(cells: DataFrame, columns: list[str]) -> list[Inferred]:
+    found = cells.groupBy("place", "kind").agg(F.sum("n").alias("n"), F.unix_millis(F.min("lo")).alias("lo"), F.unix_millis(F.max("hi")).alias("hi")).collect()
     rows = sum(r.n for r in found if r.place == 0)
     out = []
     for i, c in enumerate(columns):
@@ -175,14 +191,19 @@ def _coerced(t: Column, to: Kind, lenient: bool) -> Column:
     return F.when(_is_epoch(t), _epoch(t)).when(_looks_numeric(t) & (t.rlike(_DECIMAL) | t.rlike(_RADIX)), number).otherwise(_date(t))
 
 
-def typed(df: DataFrame, inferred: list[Inferred], lenient: bool = False) -> DataFrame:
-    """All columns as their types; columns that were not inferred pass through."""
+def typed(df: DataFrame, inferred: list[Inferred], lenient: bool = False, read: dict[str, str] | None = None) -> DataFrame:
+    """All columns as their types; columns that were not inferred pass through.
+
+    ``read`` names, for some columns, another with values that were read already, where the text is null.
+    """
+    read = read or {}
     kinds = {i.name: i.kind for i in inferred}
     # trimmed in a step of its own: what follows names it many times
     bare = {c: f"__tm_t{k}" for k, c in enumerate(df.columns) if kinds.get(c, Kind.STRING) != Kind.STRING}
     df = df.withColumns({name: trimmed(column(c)) for c, name in bare.items()})
-    kept = [c for c in df.columns if c not in bare.values()]
-    made = [_coerced(F.col(bare[c]), kinds[c], lenient).alias(c) if c in bare else F.coalesce(column(c), F.lit("")).alias(c) if c in kinds else column(c) for c in kept]
+    kept = [c for c in df.columns if c not in bare.values() and c not in read.values()]
+    value = lambda c: F.coalesce(*([column(read[c])] if c in read else []), _coerced(F.col(bare[c]), kinds[c], lenient))
+    made = [value(c).alias(c) if c in bare else F.coalesce(column(c), F.lit("")).alias(c) if c in kinds else column(c) for c in kept]
     # A higher-order function keeps this projection out of whole-stage code, where all columns together make one method
     # that is too large for the JIT; by itself it is split into a method for each (three times as fast on 16 columns).
     return df.select(let(made[0], lambda v: v).alias(kept[0]), *made[1:])
