@@ -292,3 +292,15 @@ def test_plain_columns_are_read_as_the_rules_read_them(spark, tmp_path, odd, len
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old[0])
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
+
+
+def test_load_of_few_rows_and_odd_names(spark, tmp_path):
+    (tmp_path / "none.csv").write_text("a,b\n")
+    none = d.read_typed(spark, str(tmp_path / "none.csv"))
+    assert none.rows == 0 and none.df.columns == ["__rowId", "a", "b"] and none.df.count() == 0
+    (tmp_path / "odd.csv").write_text("a.b,c`d,c0,v1\n1.5,2024-01-02,x,\n2.5,2024-01-03,,\n")
+    odd = d.read_typed(spark, str(tmp_path / "odd.csv"))
+    assert [str(f.kind) for f in odd.inferred] == ["number", "datetime", "string", "string"]
+    rows = [tuple(r) for r in odd.df.orderBy("__rowId").collect()]
+    assert [(r[0], r[1], r[3], r[4]) for r in rows] == [(0, 1.5, "x", ""), (1, 2.5, "", "")]
+    assert odd.df.columns == ["__rowId", "a.b", "c`d", "c0", "v1"] and [r[2].day for r in rows] == [2, 3]

@@ -119,10 +119,15 @@ def load_progressively(
             on_complete(Summary(total["rows"], total["bytes"], total["batches"], time.monotonic() - began, types))
 
     writer = df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-    if on_complete or on_error:
-        name = f"load-{uuid.uuid4().hex}"
-        writer = writer.queryName(name)
-        spark.streams.addListener(_End(spark, name, done))
+    writer = writer.trigger(availableNow=True) if available_now else writer
     if on_start:
         on_start(list(df.columns))
-    return (writer.trigger(availableNow=True) if available_now else writer).start()
+    if not (on_complete or on_error):
+        return writer.start()
+    end = _End(spark, f"load-{uuid.uuid4().hex}", done)
+    spark.streams.addListener(end)
+    try:
+        return writer.queryName(end.name).start()
+    except Exception:
+        spark.streams.removeListener(end)
+        raise
