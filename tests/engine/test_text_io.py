@@ -1,6 +1,7 @@
 import gzip
 from datetime import datetime, timezone
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,7 +9,7 @@ from tidemark.dataset import Dataset
 from tidemark.operators.predicates import column
 from tidemark.plans.nodes import Kind, Op, Predicate
 from tidemark.sources import delimited as d
-from tidemark.sources import export, inference
+from tidemark.sources import export, inference, plaincells
 from tidemark.streaming import ingest
 
 
@@ -294,6 +295,17 @@ def test_plain_columns_are_read_as_the_rules_read_them(spark, tmp_path, odd, len
         spark.conf.set("spark.sql.files.openCostInBytes", old[1])
 
 
+@pytest.mark.parametrize("blank", [False, True])
+def test_plain_cells_of_a_slice(blank):
+    for n in (1, 2, 9, 70, 500, 4500):
+        want = [None if blank and k % 3 == 1 else k * 1.25 for k in range(n)]
+        texts = ["" if v is None else str(v) for v in want]
+        assert plaincells.numbers(pa.array(["c_acctbal", *texts])[1:]).to_pylist() == want
+        want = [None if v is None else datetime(2000 + k % 25, 1 + k % 12, 1 + k % 28, tzinfo=timezone.utc) for k, v in enumerate(want)]
+        texts = ["" if v is None else v.strftime("%Y-%m-%d") for v in want]
+        assert plaincells.moments(pa.array(["l_shipdate", *texts])[1:]).to_pylist() == want
+
+
 def test_load_of_few_rows_and_odd_names(spark, tmp_path):
     (tmp_path / "none.csv").write_text("a,b\n")
     none = d.read_typed(spark, str(tmp_path / "none.csv"))
